@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -26,11 +27,11 @@ def blob_to_ids(raw: bytes) -> list[int]:
     return np.unique(np.frombuffer(raw[: len(raw) // 4 * 4], dtype="<u4")).tolist()
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def vector_blob(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else floats_to_blob(v))
 
 
-@pandas_udf("array<float>")
+@pandas_udf(T.ArrayType(T.FloatType()))
 def blob_vector(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))

@@ -13,6 +13,8 @@ import uuid
 from collections.abc import Sequence
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -233,7 +235,11 @@ class Store:
         if hashlib.sha256(json.dumps([m, digests], sort_keys=True).encode()).hexdigest() != text["sha256"]:
             raise RequestError("the snapshot's manifest does not match its digest")
         living = self._living(m)
-        if self._digest([f"{source}/{p}" for p in living]) != digests:
+        try:
+            intact = self._digest([f"{source}/{p}" for p in living]) == digests
+        except (Py4JJavaError, PySparkException) as e:  # the file system found a wrong block itself, or a file is gone
+            raise RequestError("a file of the snapshot cannot be read") from e
+        if not intact:
             raise RequestError("a file of the snapshot does not match its digest")
         now = self.manifest()
         util, conf = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil, self.spark.sparkContext._jsc.hadoopConfiguration()

@@ -29,13 +29,13 @@ def stream_into(rows: DataFrame, store: Store, checkpoint: str, once: bool = Tru
 
 def recent_duplicates_dropped(rows: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     """Streaming rows without those whose key came within ``delay``: bounded state, for sources that resend soon."""
-    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def windowed_counts(rows: DataFrame, time: str, width: str, slide: str | None = None, late: str = "10 minutes", by: tuple[str, ...] = ()) -> DataFrame:
     """Counts and sums of ``value`` by tumbling or sliding windows; rows later than ``late`` are dropped by the watermark."""
     window = F.window(time, width, slide) if slide else F.window(time, width)
-    return rows.withWatermark(time, late).groupBy(window, *by).agg(F.count("*").alias("rows"), F.sum("value").alias("total"))
+    return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(window, *by).agg(F.count("*").alias("rows"), F.sum("value").alias("total"))
 
 
 def chunk_numbers(rows: DataFrame, order: str, size: str, most_rows: int = 4096, most_bytes: int = 64 << 20, split: str | None = None) -> DataFrame:
