@@ -35,71 +35,88 @@ _PACKED = f"{_PIECES}, sequence_id long, offset long, settled boolean"
 # -- tokens ------------------------------------------------------------------
 
 
+def _letters() -> dict[str, int]:
+    """The bytes that the vocabulary's characters stand for: printable ones for themselves, the others in order from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class ChunkIds(dict):
     """Token ids of a run of text without white space, as little-endian uint32 bytes.
 
     White space never lies inside a token of the word vocabulary, so a text's ids are
     those of its runs.  A run that ends in ASCII punctuation other than an apostrophe
-    is its core's ids and the punctuation's: a letter or digit before punctuation is
-    a boundary of the tokenizer's pattern.
+    is its core's ids and the punctuation's: a letter before punctuation is a boundary
+    of the tokenizer's pattern.  Cores of Latin letters, which the pattern keeps whole,
+    go straight to the vocabulary's merges; all else goes through the tokenizer.
     """
 
     _TAIL = ".,!*#%$&|;:?-()[]{}\"/+=<>@^_`~\\"
-    _MOST = 150_000
+    _MOST = 300_000
+    #: Marks the end of a word; no byte of UTF-8.
+    _END = b"\xff"
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cores: dict[str, bytes] = {}
-        self.stop = self._ids(".")
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        end, letters, ranks = model.get("end_of_word_suffix") or "", _letters(), {}
+        for token, number in model["vocab"].items():
+            body = token.removesuffix(end) if end else token
+            if all(c in letters for c in body):
+                ranks[bytes(letters[c] for c in body) + (self._END if end and token != body else b"")] = number
+        # Only if the ids are the order of the merges are they ranks.
+        ordered = bool(end) and [model["vocab"]["".join(m)] for m in model["merges"]] == list(range(512, 512 + len(model["merges"])))
+        self.merges = tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}) if ordered else None
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _core(self, chunk: str) -> tuple[str, str]:
+    @staticmethod
+    def _latin(core: str) -> bool:
+        """Letters below U+0250 but dotted capital I: composed already, and lower-cased to letters one by one."""
+        return core.isalpha() and max(core) < "\u0250" and "\u0130" not in core
+
+    def _word(self, core: str) -> bytes:
+        if self.merges and self._latin(core):
+            return np.array(self.merges._encode_single_piece(core.lower().encode() + self._END), dtype="<u4").tobytes()
+        return self._ids(core)
+
+    def _split(self, chunk: str) -> tuple[str, str]:
         core = chunk.rstrip(self._TAIL)
-        if core and core != chunk and core[-1].isascii() is False and not core[-1].isalnum():
-            return chunk, ""  # a combining mark or the like: no split
-        if core and core[-1].isalnum() and core.isalnum():
-            return (core.lower() if core.isascii() else core), chunk[len(core) :]
-        return chunk, ""
+        return (core, chunk[len(core) :]) if self._latin(core) else (chunk, "")
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode the cores that are not known yet, many at a time."""
-        if len(self) > self._MOST:
-            self.clear()
-        if len(self.cores) > 2 * self._MOST:
+        if len(self.cores) > self._MOST:
             self.cores.clear()
-        split = {c: self._core(c) for c in chunks}
-        new = {part for pair in split.values() for part in pair if part and part not in self.cores}
-        plain = sorted(c for c in new if c.isalnum())
-        for i in range(0, len(plain), 64):  # the tokenizer slows down on long inputs
-            some = plain[i : i + 64]
-            ids = np.frombuffer(self._ids(" . ".join(some)), dtype="<u4")
-            stop = np.frombuffer(self.stop, dtype="<u4")
-            ends = np.flatnonzero(ids == stop[0]) if len(stop) == 1 else []
-            if len(ends) == len(some) - 1:
-                for c, part in zip(some, np.split(ids, ends), strict=True):
-                    self.cores[c] = (part[1:] if len(part) and part[0] == stop[0] else part).tobytes()
-            else:
-                self.cores.update((c, self._ids(c)) for c in some)
-        for c in new:
-            if c not in self.cores:
-                self.cores[c] = self._ids(c)
-        for chunk, (core, tail) in split.items():
-            self[chunk] = b"".join(self.cores[part] for part in (core, tail) if part)
+        for chunk in chunks:
+            ids = b""
+            for part in self._split(chunk):
+                if part:
+                    own = self.cores.get(part)
+                    if own is None:
+                        own = self.cores[part] = self._word(part)
+                    ids += own
+            self[chunk] = ids
 
     def encode(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
         try:
             return b"".join(map(self.__getitem__, chunks))
         except KeyError:
-            self.learn(set(chunks).difference(self))
+            if len(self) > self._MOST:
+                self.clear()
+            self.learn({c for c in chunks if c not in self})
             return b"".join(map(self.__getitem__, chunks))
 
 
