@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,14 @@ def idempotency_key(key: str | Column = "idempotency_key") -> Column:
     return F.when(trimmed != "", trimmed)
 
 
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the folder in ``spark.checkpoint.dir``; one is set only where that is unset."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+    return rows.checkpoint()
+
+
 def dense_numbers(rows: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
     """``rows`` with ``name`` = start, start + 1, ... in ``order``: ranges are sorted apart and shifted by the counts before them.
 
@@ -23,7 +33,7 @@ def dense_numbers(rows: DataFrame, order: list[str], name: str, start: int = 0)
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).checkpoint()
+    placed = checkpointed(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     counts = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}
     before, total = [], start
     for part in sorted(counts):

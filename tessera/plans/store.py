@@ -126,7 +126,7 @@ class Store:
         name = f"wal/{uuid.uuid4().hex}"
         shift = m["next_lsn"] - m["next_id"]
         new.withColumn("lsn", F.col("vector_id") + shift).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in WAL.fields)).write.parquet(f"{self.folder}/{name}")
-        acks = acks.checkpoint()
+        acks = ingest.checkpointed(acks)
         count = acks.filter("created").count()
         self._change(m, next_id=m["next_id"] + count, next_lsn=m["next_lsn"] + count, wal=[*m["wal"], name])
         return acks
