@@ -4,14 +4,15 @@ A document's set is its distinct 5-word shingles (all its words as one, if fewer
 Each class of equal sets is one node, whatever its number of copies.  250 MinHash
 samples in 50 bands of five give buckets; a pair with similarity 0.75 shares none
 with probability (1 - 0.75**5)**50 = 1.3e-6.  The samples are also folded into a
-parity bitmap of 1024 bits, whose XOR population count estimates the similarity:
-pairs estimated below 0.5 (nine standard errors under 0.75) are left, and the rest
-confirmed on the full sets.
+parity bitmap of 1024 bits, whose XOR population count estimates the similarity with
+a standard error of 0.032 at 0.75: pairs estimated more than 0.135 too low, or whose
+sizes rule them out, are left, and the rest confirmed on the full sets.
 
 No bucket is expanded into its pairs.  Each member meets its bucket's smallest
-node; confirmed links give components.  Only what still lies in different
-components of one bucket then meets each other, the bitmap being tested inside the
-join, so a bucket of one component, however large, costs one row per member.
+node; confirmed links give components.  Only what still lies in different components of one bucket then meets:
+blocks of its members meet in pairs, in tasks that give confirmed links alone, so no
+list of pairs is made, and a bucket of one component, however large, costs one row
+per member.
 """
 
 from __future__ import annotations
@@ -29,10 +30,14 @@ from tessera.llm.shared import Scratch, as_bytes, groups, small, whole
 SHINGLE = 5
 BANDS, ROWS = 50, 5
 BITS = 1024
-#: XOR population count expected at similarity 0.5; pairs above it are left.
-MOST_DIFFERENT = int(BITS / 2 * (1 - np.exp(-2 * (2 * BANDS * ROWS * 0.5) / BITS)))
+#: Estimated similarity may lie this much under the least one: over four standard errors of samples and bits together.
+MARGIN = 0.135
 #: Members that meet one hub in one run of sorted rows.
 FAN = 512
+#: Members of a block; two blocks of a bucket meet in one task.
+CELL = 256
+#: Links that one task joins in memory at most (about 100 MB); more are joined by distributed passes.
+LOCAL = 500_000
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -101,9 +106,16 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).mapInArrow(_sketch, _SKETCHED)
 
 
-def _differing(a: str, b: str):
-    """XOR population count of two sketches."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def most_differing(similarity: float) -> int:
+    """XOR population count that is expected at a similarity."""
+    return int(BITS / 2 * (1 - np.exp(-2 * (2 * BANDS * ROWS * (1 - similarity)) / BITS)))
+
+
+def _maybe(a: str, b: str, least: int):
+    """Whether two (n, sketch) structs may reach ``least``: by their sizes for certain, by their sketches with MARGIN to spare."""
+    small_n, large_n = F.least(F.col(a)["n"], F.col(b)["n"]), F.greatest(F.col(a)["n"], F.col(b)["n"])
+    differing = F.aggregate(F.zip_with(F.col(a)["sketch"], F.col(b)["sketch"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (100 * small_n >= least * large_n) & (differing <= most_differing(least / 100 - MARGIN))
 
 
 def _similar(a: np.ndarray, b: np.ndarray, least: int) -> bool:
@@ -135,27 +147,45 @@ def confirmed(pairs: DataFrame, docs: DataFrame, least: int, scratch: Scratch, n
     Texts, not pairs of texts, travel: each member's once a pair, each hub's once for
     every FAN members, so a hub of any number of members is dealt over many tasks.
     """
+    pairs = scratch.keep(pairs, f"{name}-near")
     fan = pairs.groupBy("hub").agg(F.ceil(F.count("*") / FAN).alias("fan"))
     pairs = scratch.keep(pairs.join(fan, "hub").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("fan"))).drop("fan"), f"{name}-pairs")
-    wanted = scratch.keep(
-        pairs.select("hub", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("member"), F.col("hub").alias("doc_id")).distinct()
-        .unionByName(pairs.select("hub", "salt", F.lit(1).alias("kind"), "member", F.col("member").alias("doc_id"))),
-        f"{name}-wanted",
-    )
+    wanted = pairs.select("hub", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("member"), F.col("hub").alias("doc_id")).distinct().unionByName(
+        pairs.select("hub", "salt", F.lit(1).alias("kind"), "member", F.col("member").alias("doc_id")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    involved = wanted.select("doc_id").distinct()
-    texts = texts.join(small(involved, 16), "doc_id", "left_semi")
-    rows = wanted.join(texts, "doc_id").select("hub", "salt", "kind", "member", "text")
+    rows = texts.join(small(wanted, 48), "doc_id").select("hub", "salt", "kind", "member", "text")
     dealt = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind", "member")
     return scratch.keep(dealt.mapInArrow(_confirm(least), "hub long, member long").distinct(), f"{name}-links")
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, label): for each node of an edge (hub, member), the smallest node it reaches.
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of the components of (hub, member) links, in one task."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("hub").to_pylist(), batch.column("member").to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            top[max(a, b)] = min(a, b)
+    nodes = [x for x in top if find(x) != x]
+    for at in range(0, len(nodes), 10_000):
+        some = nodes[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([find(x) for x in some], pa.int64())], names=["node", "label"])
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str, local: int = LOCAL) -> DataFrame:
+    """(node, label): for each node of an edge (hub, member) but the smallest of its component, that smallest one.
 
-    Alternating large-star and small-star passes; each pass is a grouped minimum and
-    a join, and its edges are written before the next.
+    At most ``local`` edges, counted, are joined in one task's memory.  More go through
+    alternating large-star and small-star passes; each pass is a grouped minimum and a
+    join, and its edges are written before the next.
     """
+    if edges.count() <= local:
+        return edges.select("hub", "member").coalesce(1).mapInArrow(_union, "node long, label long")
     now = scratch.keep(edges.select(F.greatest("hub", "member").alias("u"), F.least("hub", "member").alias("v")).filter("u <> v").distinct(), f"{name}-0")
     sign = None
     for turn in range(1, 100):
@@ -189,31 +219,31 @@ def near_duplicates(docs: DataFrame, least: int = 75) -> DataFrame:
     scratch = Scratch(spark)
     table = scratch.keep(sketched(docs), "sketched")
     sets = table.filter("n_shingles > 0 and doc_id is not null")
-    nodes = scratch.keep(sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = scratch.keep(sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
 
-    members = nodes.select("node", F.explode("bands").alias("band"))
+    members = nodes.select("node", F.posexplode("bands").alias("place", "band"))
     hubs = scratch.keep(members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1"), "hubs")
-    shared = scratch.keep(members.join(hubs, "band").select("band", "node", "hub", "size"), "shared")
+    shared = scratch.keep(members.join(hubs, "band").select("band", "place", "node", "hub", "size"), "shared")
 
-    sketch = nodes.select("node", "sketch")
+    sketch = nodes.select("node", F.struct("n", "sketch").alias("sketch"))
     near = scratch.keep(shared.filter("node <> hub").select("hub", F.col("node").alias("member")).distinct(), "near")
     near = (
         near.join(sketch.select(F.col("node").alias("member"), F.col("sketch").alias("a")), "member")
         .join(sketch.select(F.col("node").alias("hub"), F.col("sketch").alias("b")), "hub")
-        .filter(_differing("a", "b") <= MOST_DIFFERENT)
+        .filter(_maybe("a", "b", least))
         .select("hub", "member")
     )
     links = confirmed(near, docs, least, scratch, "star")
     labels = scratch.keep(components(links, scratch, "first"), "labels")
 
     # What one bucket still holds in two components, the hub aside: every member has met it.
-    apart = shared.filter("size > 2").join(labels.select("node", "label"), "node", "left").select("band", "node", "hub", F.coalesce("label", "node").alias("label"))
+    apart = shared.filter("size > 2").join(labels.select("node", "label"), "node", "left").select("band", "place", "node", "hub", F.coalesce("label", "node").alias("label"))
     mixed = apart.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("band")
-    rest = scratch.keep(apart.filter("node <> hub").join(mixed, "band").join(sketch, "node").select("band", "node", "label", "sketch"), "apart")
+    rest = scratch.keep(apart.filter("node <> hub").join(mixed, "band").select("band", "place", "node", "label"), "apart")
     if rest.isEmpty():
         merged = spark.createDataFrame([], "label long, top long")
     else:
-        merged = _second_pass(rest, docs, least, labels, scratch)
+        merged = _second_pass(rest, nodes, docs, least, scratch)
     final = (
         nodes.select("s1", "s2", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         .join(merged, "label", "left").select("s1", "s2", F.coalesce("top", "label").alias("component"))
@@ -227,16 +257,89 @@ def near_duplicates(docs: DataFrame, least: int = 75) -> DataFrame:
     return known.unionByName(alone).unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _second_pass(rest: DataFrame, docs: DataFrame, least: int, labels: DataFrame, scratch: Scratch) -> DataFrame:
+def _cells(rest: DataFrame, cell: int) -> DataFrame:
+    """``rest`` (band, place, node, label) with lo and hi: the pairs of blocks of its bucket that each member is needed in, and side.
+
+    A component with over ``cell`` members in a bucket has blocks of its own, that do
+    not meet each other; smaller ones share blocks.  A block has about ``cell`` members.
+    """
+    counts = rest.groupBy("band", "label").agg(F.count("*").alias("c"))
+    big = counts.filter(F.col("c") > cell).select("band", F.col("label").alias("big"), F.ceil(F.col("c") / cell).alias("parts"))
+    little = counts.filter(F.col("c") <= cell).groupBy("band").agg(F.ceil(F.sum("c") / cell).alias("parts")).select("band", F.lit(None).cast("long").alias("big"), "parts")
+    spread = big.unionByName(little)
+    blocks = spread.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("big", "part"))).alias("blocks"))
+    own = rest.join(big.select("band", F.col("big").alias("label"), "big", F.col("parts").alias("own")), ["band", "label"], "left")
+    own = own.join(little.select("band", F.col("parts").alias("shared")), "band", "left").join(blocks, "band")
+    part = F.when(F.col("big").isNotNull(), F.pmod(F.xxhash64("node"), F.col("own"))).otherwise(F.pmod(F.xxhash64("label"), F.col("shared")))
+    at = F.array_position("blocks", F.struct("big", part.cast("long").alias("part"))).cast("int")
+    others = F.filter(F.transform("blocks", lambda b, k: F.struct(b["big"].alias("big"), (k + 1).alias("k"))), lambda b: F.col("big").isNull() | ~b["big"].eqNullSafe(F.col("big")))
+    met = own.withColumn("at", at).select("band", "place", "node", "label", "at", F.explode(F.transform(others, lambda b: b["k"])).alias("other"))
+    return met.select("band", "place", "node", "label", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "at")
+
+
+def _meet(least: int):
+    """Cells one after another; of each, the confirmed links between members of different components.
+
+    A pair is looked at in the first band that both share.  Links that join nothing new
+    in the cell are left out: a cell of n members gives n - 1 at most.
+    """
+
+    def links(rows: list[dict]) -> Iterator[tuple[int, int]]:
+        label, at, n = (np.array([r[k] for r in rows]) for k in ("label", "at", "n"))
+        bands, sketch = np.array([r["bands"] for r in rows]), np.array([r["sketch"] for r in rows])
+        place, alone = rows[0]["place"], rows[0]["lo"] == rows[0]["hi"]
+        sets: dict[int, np.ndarray] = {}
+        top = {x: x for x in label.tolist()}
+
+        def find(x: int) -> int:
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(rows[i]["text"])
+            return sets[i]
+
+        limit = most_differing(least / 100 - MARGIN)
+        for i in range(len(rows) - 1):
+            later = np.arange(i + 1, len(rows))
+            later = later[(label[later] != label[i]) & (alone | (at[later] != at[i]))]
+            later = later[100 * np.minimum(n[later], n[i]) >= least * np.maximum(n[later], n[i])]
+            later = later[np.bitwise_count((sketch[later] ^ sketch[i]).view(np.uint64)).sum(axis=1) <= limit]
+            later = later[~(bands[later, :place] == bands[i, :place]).any(axis=1)]
+            for j in later.tolist():
+                a, b = find(int(label[i])), find(int(label[j]))
+                if a != b and _similar(of(i), of(j), least):
+                    top[max(a, b)] = min(a, b)
+                    yield int(label[i]), int(label[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            texts = as_bytes(batch.column("text"))
+            for row, text in zip(batch.drop_columns(["text"]).to_pylist(), texts, strict=True):
+                if held and any(held[0][k] != row[k] for k in ("band", "lo", "hi")):
+                    out += links(held)
+                    held = []
+                held.append(row | {"text": text})
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["hub", "member"])
+        if held:
+            out = list(links(held))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["hub", "member"])
+
+    return run
+
+
+def _second_pass(rest: DataFrame, nodes: DataFrame, docs: DataFrame, least: int, scratch: Scratch, cell: int = CELL) -> DataFrame:
     """(label, top): components of the first pass that a link between members of one bucket joins."""
-    one, two = (rest.select("band", *(F.col(c).alias(f"{c}{k}") for c in ("node", "label", "sketch"))) for k in (1, 2))
-    more = (
-        one.join(two, (one["band"] == two["band"]) & (F.col("label1") < F.col("label2")) & (_differing("sketch1", "sketch2") <= MOST_DIFFERENT))
-        .select(F.col("node1").alias("hub"), F.col("node2").alias("member")).distinct()
-    )
-    links2 = confirmed(more, docs, least, scratch, "rest")
-    # The second pass joins the first one's components.
-    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
-    joined = links2.join(of("hub"), "hub", "left").join(of("member"), "member", "left").select(
-        F.coalesce("hub_label", "hub").alias("hub"), F.coalesce("member_label", "member").alias("member"))
-    return scratch.keep(components(joined, scratch, "second").withColumnRenamed("label", "top").withColumnRenamed("node", "label"), "merged")
+    cells = scratch.keep(_cells(rest, cell), "cells")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), whole().alias("text"))
+    involved = scratch.keep(cells.select("node").distinct(), "involved")
+    # A text is brought to each node once, then to the node's cells.
+    own = texts.join(small(involved, 16), "node", "left_semi").groupBy("node").agg(F.collect_set("text").alias("texts")).select("node", F.explode("texts").alias("text"))
+    rows = cells.join(nodes.select("node", "n", "bands", "sketch"), "node").join(own, "node")
+    dealt = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "node")
+    links = scratch.keep(dealt.select("band", "place", "lo", "hi", "at", "node", "label", "n", "bands", "sketch", "text").mapInArrow(_meet(least), "hub long, member long").distinct(), "rest-links")
+    return scratch.keep(components(links, scratch, "second").withColumnRenamed("label", "top").withColumnRenamed("node", "label"), "merged")
