@@ -127,14 +127,18 @@ def _values() -> str:
     return ",\n    ".join(rows)
 
 
-#: DuckDB: every template tried at every word.
+def _firsts() -> str:
+    return ", ".join(sorted({f"'{text.split()[at]}'" for _, text, at, _, _ in TEMPLATES}))
+
+
+#: DuckDB: every template tried at every place of its phrase's first word.
 ORACLE = f"""
 WITH templates(label, base, lead, phrase, words) AS (VALUES
     {_values()}
 ), docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORD}') AS w FROM documents
 ), starts AS (
-  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs
+  SELECT doc_id, w, unnest(list_filter(list_transform(w, lambda x, k: CASE WHEN x IN ({_firsts()}) THEN k END), lambda k: k IS NOT NULL)) AS i FROM docs
 ), places AS (
   SELECT doc_id, i - 1 AS start, label, base,
     len(list_filter(range(1, len(words) + 1), lambda j: i - lead + j - 1 >= 1 AND w[i - lead + j - 1] = words[j]))::DOUBLE / len(words) AS share
