@@ -98,7 +98,7 @@ def test_dtw_fixtures(spark):
     a, b = np.array([1.0, 2, 3, 4]), np.array([2.0, 3, 4, 5])
     assert dtw.distance(a, b, 2) == 2.0 and dtw.distance(a, a, 0) == 0 and dtw.distance(a, a[:2], 1) == math.inf
     assert dtw.distance(a, b + 100, 2, 10.0) == math.inf
-    series = spark.createDataFrame([(0, [2.0, 3, 4, 5]), (1, [1.0, 2, 3, 4]), (2, [0.5, 2, 3.5, 5])], "series_id long, series array<double>")
+    series = spark.createDataFrame([(0, [2.0, 3.0, 4.0, 5.0]), (1, [1.0, 2.0, 3.0, 4.0]), (2, [0.5, 2.0, 3.5, 5.0])], "series_id long, series array<double>")
     assert [r["series_id"] for r in dtw.topk(series, [1.0, 2, 3, 4], 2, 2, 8).orderBy("rank").collect()][0] == 1
     inside = series.select("series_id", dtw.distance_col("series", V.vector([1.0, 2, 3, 4]), 2).alias("d")).collect()
     assert {r["series_id"]: r["d"] for r in inside} == {i: dtw.distance(a, np.array(s), 2) for i, s in [(0, [2.0, 3, 4, 5]), (1, [1.0, 2, 3, 4]), (2, [0.5, 2, 3.5, 5])]}
@@ -110,7 +110,7 @@ def test_dtw_fixtures(spark):
     empty = spark.createDataFrame([(3, [])], series.schema)
     with pytest.raises(Exception, match="empty series"):
         dtw.topk(series.union(empty), [1.0, 2, 3, 4], 2, 2).collect()
-    two = spark.createDataFrame([(0, [1.0, 2, 3, 4]), (1, [1.0, 2, 3, 4.25]), (2, [0.0] * 4), (3, [10.0] * 4), (4, [])], series.schema)
+    two = spark.createDataFrame([(0, [1.0, 2.0, 3.0, 4.0]), (1, [1.0, 2.0, 3.0, 4.25]), (2, [0.0] * 4), (3, [10.0] * 4), (4, [])], series.schema)
     assert [r["series_id"] for r in dtw.two_stage(two, [1.0, 2, 3, 4], 2, 2, 2).orderBy("rank").collect()] == [0, 1]
 
 
