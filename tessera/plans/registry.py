@@ -488,8 +488,8 @@ codes AS (SELECT vector_id, list(code ORDER BY s) AS codes, flatten(list(w.p ORD
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = collection(spark, sf_dir).select("vector_id", "vector")
-    frame = F.broadcast(pq.book_frame(spark, _book(spark, sf_dir)))
-    return rows.join(frame).withColumn("codes", pq.encode("vector", "book", PARTS, SIZE)).withColumn("decoded", pq.decode("codes", "book"))
+    book = _book(spark, sf_dir)
+    return rows.withColumn("codes", pq.encoder(book)("vector")).join(F.broadcast(pq.book_frame(spark, book))).withColumn("decoded", pq.decode("codes", "book"))
 
 
 @register(f"WITH {COLLECTION}, {_BOOK} SELECT vector_id, array_to_string(codes, ',') AS codes FROM codes")

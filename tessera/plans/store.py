@@ -147,9 +147,8 @@ class Store:
         if coded:
             book = pq.train(rows, m["dim"])
             book.write.parquet(f"{self.folder}/{name}-codebook")
-            parts = pq.choose_subspaces(m["dim"])
-            frame = pq.book_frame(self.spark, pq.book_of(self.spark.read.parquet(f"{self.folder}/{name}-codebook")))
-            rows = rows.join(F.broadcast(frame)).withColumn("codes", pq.encode("vector", "book", parts, m["dim"] // parts)).drop("vector", "book").withColumn("vector", F.lit(None).cast("array<float>"))
+            book = pq.book_of(self.spark.read.parquet(f"{self.folder}/{name}-codebook"))
+            rows = rows.withColumn("codes", pq.encoder(book)("vector")).drop("vector").withColumn("vector", F.lit(None).cast("array<float>"))
         rows.sortWithinPartitions("vector_id").write.parquet(f"{self.folder}/{name}")
         return {"segment_id": number, "level": level, "state": "active", "path": name, "start_id": bounds[0], "end_id": bounds[1], "rows": bounds[2], "created_lsn": lsn, "pq": coded}
 

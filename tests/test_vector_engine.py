@@ -131,6 +131,8 @@ def test_quantisation_properties(spark):
         for s, c in enumerate(row["codes"]):
             far = ((np.array(book[s]) - np.array(row["vector"][8 * s : 8 * s + 8])) ** 2).sum(axis=1)
             assert far[c] == pytest.approx(far.min())
+    again = table.withColumn("codes", pq.encoder(book)("vector")).select("vector_id", "codes").collect()
+    assert {r["vector_id"]: r["codes"] for r in again} == {r["vector_id"]: r["codes"] for r in coded.select("vector_id", "codes").collect()}
     best = pq.archive_search(coded, book, vectors[7].tolist(), 10).collect()
     assert 7 in {r["vector_id"] for r in best}
     assert pq.quantised(256, 2, 64) and not pq.quantised(255, 2, 64) and not pq.quantised(500, 1, 64) and not pq.quantised(500, 2, 7)
