@@ -191,7 +191,8 @@ def next_likeness(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
     n = max(texts.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.desc_nulls_last("doc_id"), F.asc("text")]
-    dealt = texts.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Ranges of doc_id alone: a sample of the range keys goes to the driver, and texts are no keys.
+    dealt = texts.repartitionByRange(n, order[0]).sortWithinPartitions(*order)
     found = scratch.keep(dealt.mapInArrow(_neighbours, _MARKED), "found")
     names = [c.split()[0] for c in _OUT.split(", ")]
     parts = [r["part"] for r in found.filter("kind = 'head'").select("part").orderBy("part").collect()]  # one for each partition
