@@ -226,7 +226,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, anchor
     runs = scratch.keep(long.mapInArrow(_runs(depth, anchor), _RUNS), "runs")
 
     # Digit 1: anchors that occur once hold no repeated window.
-    twice = runs.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a")
+    # They are written first: a join right behind the count would keep its partitioning, and a hot anchor in one task.
+    twice = scratch.keep(runs.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a"), "twice")
     left = scratch.keep(runs.join(twice, "a"), "left")
     scratch.drop("runs")
 
@@ -249,7 +250,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, anchor
     hot_ones = single.filter("many = 1").join(again, ["a", "left", "right"], "left_semi").select(*_KEY, "lo", (F.col("lo") + depth).alias("hi"))
     spans = same.unionByName(cold).unionByName(hot_ones)
     out = scratch.keep(spans.groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    for name in ("left", "kinds", "stretches"):
+    for name in ("twice", "left", "kinds", "stretches"):
         scratch.drop(name)
     return out
 
