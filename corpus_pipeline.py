@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import near_dedup, packing, quality, suffix_dedup
 from tessera.llm.entry import WORD_BPE
-from tessera.llm.shared import Scratch
+from tessera.llm.shared import Scratch, small
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,29 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    gone = near_dedup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """One row of each group of near-duplicates: the one with the smallest doc_id, null after all others.
+
+    Rows are told apart by doc_id and text, not by doc_id alone.  Rows that repeat both
+    are one document, whatever their other columns hold: any one of them stays.  Texts
+    that share a doc_id, or have none, are documents of their own: each is joined to its
+    own near-duplicates, and one that is like no other stays.  Of a group's texts with
+    the same doc_id, the one with the smallest key stays.  Null texts and those without
+    words are like no other.  The keys are 64-bit hashes of doc_id and text: among ten
+    million rows, any two share one with probability 3e-6.
+    """
+    scratch = Scratch(spark)
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    again = scratch.keep(keyed.groupBy("_key").count().filter("count > 1").select("_key"), "again")
+    # Only repeated rows are dealt by key; a key's copies are reduced before they travel.
+    once = scratch.keep(keyed.join(small(again, 8), "_key", "left_semi").select(keyed.columns).dropDuplicates(["_key"]), "once")
+    rows = keyed.join(small(again, 8), "_key", "left_anti").select(keyed.columns).unionByName(once)
+
+    found = near_dedup.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
+    ids = rows.select("_key", F.col("doc_id").cast("long").alias("id"))
+    found = scratch.keep(found.join(ids, "_key"), "found")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_key"))["_key"].alias("_key"))
+    gone = scratch.keep(found.join(first, "_key", "left_anti").select("_key"), "gone")
+    return rows.join(small(gone, 8), "_key", "left_anti").select(docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

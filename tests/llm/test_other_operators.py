@@ -135,3 +135,37 @@ def test_pipeline_stages(spark):
         assert byte_counts[doc_id] - 6 * 3 <= len(text.encode()) <= byte_counts[doc_id]
     out = corpus_pipeline.run(spark, sf)
     assert out.select(F.count_distinct("doc_id")).first()[0] == near.count()
+
+
+def test_stages_keep_one_row_of_repeated_and_nameless_documents(spark):
+    """Stages 2 and 3 on rows that repeat, share a doc_id or have none: one row of each group stays, with its text."""
+    stages = dict(corpus_pipeline.STAGES)
+    own = {k: " ".join(f"{k}{n}" for n in range(80)) for k in "abcdefgh"}
+    rows = [
+        (1, own["a"]), (1, own["a"]), (1, own["a"]),  # repeated rows of no other document
+        (2, own["b"]), (2, own["c"]), (3, own["c"] + " end"), (1, own["c"] + " tail"),  # one id, two texts, of which one has near-duplicates
+        (None, own["d"]), (None, own["d"]),  # repeated, without an id
+        (None, own["e"]), (9, own["e"] + " end"),  # an id goes before none
+        (4, own["f"]), (4, own["f"] + " end"),  # alike under one id
+        (5, own["g"]), (6, own["h"]), (5, None), (5, None), (7, ""), (8, ""), (None, None),
+    ]
+    docs = cases.documents(spark, rows)
+    kept = stages["minhash_near_dedup"](spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    alike = [x for x in got if x[0] == 4]
+    assert len(alike) == 1 and alike[0] in rows
+    assert [x for x in got if x[0] != 4] == sorted([(1, own["a"]), (2, own["b"]), (1, own["c"] + " tail"), (None, own["d"]), (9, own["e"] + " end"), (5, own["g"]), (6, own["h"]), (5, None), (7, ""), (8, ""), (None, None)], key=str)
+    after = stages["suffix_array_dedup"](spark, kept, "")
+    assert sorted(((r["doc_id"], r["text"]) for r in after.collect()), key=str) == got
+
+
+def test_odd_cases_lose_no_document_to_their_copies(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    docs = cases.documents(spark)
+    kept = stages["minhash_near_dedup"](spark, docs, "")
+    texts = [(r["doc_id"], r["text"]) for r in stages["suffix_array_dedup"](spark, kept, "").collect()]
+    assert [i for i, t in texts if t and "passage30" in t] == [8]
+    alone = cases.documents(spark, [x for x in cases.DOCUMENTS if x[0] == 18])
+    kept = stages["suffix_array_dedup"](spark, stages["minhash_near_dedup"](spark, alone, ""), "")
+    assert [(r["doc_id"], r["text"]) for r in kept.collect()] == [(18, cases.PASSAGE)]
