@@ -5,8 +5,10 @@ Each class of equal sets is one node, whatever its number of copies.  250 MinHas
 samples in 50 bands of five give buckets; a pair with similarity 0.75 shares none
 with probability (1 - 0.75**5)**50 = 1.3e-6.  The samples are also folded into a
 parity bitmap of 1024 bits, whose XOR population count estimates the similarity with
-a standard error of 0.032 at 0.75: pairs estimated more than 0.135 too low, or whose
-sizes rule them out, are left, and the rest confirmed on the full sets.
+a standard error of 0.032 at 0.75: pairs estimated more than 0.18 too low, or whose
+sizes rule them out, are left, and the rest confirmed on the full sets.  That leaves a
+pair at similarity 0.75 with probability 7.5e-8, so bands and sketches together lose
+it with 1.4e-6.
 
 No bucket is expanded into its pairs.  Each member meets its bucket's smallest
 node; confirmed links give components.  Only what still lies in different components of one bucket then meets:
@@ -30,8 +32,8 @@ from tessera.llm.shared import Scratch, as_bytes, groups, small, whole
 SHINGLE = 5
 BANDS, ROWS = 50, 5
 BITS = 1024
-#: Estimated similarity may lie this much under the least one: over four standard errors of samples and bits together.
-MARGIN = 0.135
+#: Estimated similarity may lie this much under the least one: so much that sketches lose fewer pairs than bands do.
+MARGIN = 0.18
 #: Members that meet one hub in one run of sorted rows.
 FAN = 512
 #: Members of a block; two blocks of a bucket meet in one task.

@@ -1,6 +1,7 @@
 """Operators on documents against brute force on small tables with odd cases."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -129,6 +130,20 @@ def test_odd_sketch_estimates_similarity():
         assert abs(estimate - share) < 0.1
 
 
+def test_sketches_lose_fewer_pairs_than_bands():
+    """Exactly: of 250 samples each differs with probability 1/4, and one that differs flips two of the bits."""
+    n, m, share = near_dedup.BITS, near_dedup.BANDS * near_dedup.ROWS, 0.75
+    odd = np.arange(n + 1)
+    chance, lost = (odd == 0).astype(float), 0.0  # of each number of odd bits
+    limit = near_dedup.most_differing(share - near_dedup.MARGIN)
+    for differ in range(m + 1):
+        lost += math.comb(m, differ) * (1 - share) ** differ * share ** (m - differ) * chance[limit + 1 :].sum()
+        for _ in range(2):
+            up, down = chance * (n - odd) / n, chance * odd / n
+            chance = np.append(0, up[:-1]) + np.append(down[1:], 0)
+    assert 0 < lost < (1 - share**near_dedup.ROWS) ** near_dedup.BANDS / 10
+
+
 @pytest.mark.parametrize("local", [near_dedup.LOCAL, 0])
 def test_components_of_paths_and_stars(spark, local):
     edges = [(k, k + 1) for k in range(50)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
