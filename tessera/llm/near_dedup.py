@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytesops import mix64, shingle_hashes, word_hashes
-from tessera.llm.shared import Scratch, as_bytes, groups, small, whole
+from tessera.llm.shared import Scratch, as_bytes, groups, release, small, whole
 
 SHINGLE = 5
 BANDS, ROWS = 50, 5
@@ -45,7 +45,7 @@ _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
-_SKETCHED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"
+_SKETCHED = "doc_id long, h long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"
 
 
 def shingle_set(raw: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -84,7 +84,7 @@ def _lists(rows: np.ndarray, present: np.ndarray) -> pa.Array:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = as_bytes(batch.column("text"))
-        ids = batch.column("doc_id")
+        ids, hashes = batch.column("doc_id"), batch.column("h")
         for lo, hi in groups([len(t) for t in texts], 1 << 20):
             sets = [shingle_set(t) for t in texts[lo:hi]]
             n = np.array([len(s) for s in sets], dtype=np.int64)
@@ -98,14 +98,26 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s1[full] = np.add.reduceat(mix64(flat), first)
                 s2[full] = np.add.reduceat(mix64(flat ^ np.uint64(0x5851F42D4C957F2D)), first)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(keys, full), _lists(sketches, full)],
-                names=["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"],
+                [ids.slice(lo, hi - lo), hashes.slice(lo, hi - lo), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(keys, full), _lists(sketches, full)],
+                names=["doc_id", "h", "n_shingles", "s1", "s2", "bands", "sketch"],
             )
+    release()
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and h, a hash that tells apart the texts under one doc_id."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).withColumn("h", F.xxhash64("text"))
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash of the set (s1, s2), band hashes and odd sketch of each document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).mapInArrow(_sketch, _SKETCHED)
+    """doc_id, h, n_shingles, a 128-bit hash of the set (s1, s2), band hashes and odd sketch of each document."""
+    return _texts(docs).mapInArrow(_sketch, _SKETCHED)
+
+
+def distinct_sets(table: DataFrame) -> DataFrame:
+    """A row for each set of :func:`sketched`: node (its number), the smallest document that has it (doc, h), n, bands and sketch."""
+    own = table.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    return own.select("s1", "s2", F.xxhash64("s1", "s2").alias("node"), F.col("r.doc_id").alias("doc"), F.col("r.h").alias("h"), "n", "bands", "sketch")
 
 
 def most_differing(similarity: float) -> int:
@@ -129,33 +141,43 @@ def _confirm(least: int):
     """Rows sorted by hub, salt and kind: each hub's text (kind 0) comes before its members' (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, known = None, []
+        hub = known = last = None
         for batch in batches:
             out: list[tuple[int, int]] = []
             for h, kind, member, text in zip(batch.column("hub").to_pylist(), batch.column("kind").to_pylist(), batch.column("member").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                mine = shingle_set(text)
+                if (h, member) == last:  # the same row of the table again
+                    continue
+                last = h, member
                 if kind == 0:
-                    hub, known = h, [*(known if hub == h else []), mine]  # several only if a doc_id repeats
-                elif hub == h and any(_similar(k, mine, least) for k in known):
+                    hub, known = h, shingle_set(text)
+                elif hub == h and _similar(known, shingle_set(text), least):
                     out.append((h, member))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["hub", "member"])
+        release()
 
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, least: int, scratch: Scratch, name: str) -> DataFrame:
+def _texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``wanted`` (node and more) with the text of each node."""
+    own = wanted.join(nodes.select("node", F.col("doc").alias("doc_id"), "h"), "node")
+    return _texts(docs).join(small(own, 64), ["doc_id", "h"]).drop("doc_id", "h", "node")
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (hub, member) whose full sets have a similarity of ``least`` hundredths or more.
 
     Texts, not pairs of texts, travel: each member's once a pair, each hub's once for
     every FAN members, so a hub of any number of members is dealt over many tasks.
+    Counts behind a join are written first: else the join keeps their partitioning,
+    and all members of a hub in one task.
     """
     pairs = scratch.keep(pairs, f"{name}-near")
-    fan = pairs.groupBy("hub").agg(F.ceil(F.count("*") / FAN).alias("fan"))
-    pairs = scratch.keep(pairs.join(fan, "hub").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("fan"))).drop("fan"), f"{name}-pairs")
-    wanted = pairs.select("hub", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("member"), F.col("hub").alias("doc_id")).distinct().unionByName(
-        pairs.select("hub", "salt", F.lit(1).alias("kind"), "member", F.col("member").alias("doc_id")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    rows = texts.join(small(wanted, 48), "doc_id").select("hub", "salt", "kind", "member", "text")
+    fan = scratch.keep(pairs.groupBy("hub").agg(F.ceil(F.count("*") / FAN).alias("fan")), f"{name}-fan")
+    pairs = scratch.keep(pairs.join(small(fan, 16), "hub").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("fan"))).drop("fan"), f"{name}-pairs")
+    wanted = pairs.select("hub", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("member"), F.col("hub").alias("node")).distinct().unionByName(
+        pairs.select("hub", "salt", F.lit(1).alias("kind"), "member", F.col("member").alias("node")))
+    rows = _texts_of(scratch.keep(wanted, f"{name}-wanted"), nodes, docs).select("hub", "salt", "kind", "member", "text")
     dealt = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind", "member")
     return scratch.keep(dealt.mapInArrow(_confirm(least), "hub long, member long").distinct(), f"{name}-links")
 
@@ -194,12 +216,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str, local: int = LOCAL
         if now.isEmpty():
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-low-{turn}")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.keep(large, f"{name}-large-{turn}")
+        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least-{turn}")
         small_star = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         after = scratch.keep(small_star.filter("u <> v").distinct(), f"{name}-{turn}")
-        scratch.drop(f"{name}-{turn - 1}")
+        for done in (f"{name}-{turn - 1}", f"{name}-low-{turn}", f"{name}-large-{turn}", f"{name}-least-{turn}"):
+            scratch.drop(done)
         now, before = after, sign
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == before:
@@ -213,15 +237,17 @@ def near_duplicates(docs: DataFrame, least: int = 75) -> DataFrame:
     ``least``: similarity in hundredths from which two documents are linked.
 
     Null and empty texts, and those without words, have no set: n_shingles 0, their own
-    component, kept.  Rows that repeat a doc_id with an equal set give one row.
-    A null doc_id can name no component: the row is linked with nothing and returned
-    with a null component_id, kept.  Other columns of ``docs`` are not read.
+    component, kept.  A document is a doc_id and a set: rows that repeat both give one
+    row, and unequal sets under one doc_id are documents of their own, which link only
+    what is like each of them.  A null doc_id can name no component: the row is linked
+    with nothing and returned with a null component_id, kept.  An empty table gives no
+    rows.  Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     table = scratch.keep(sketched(docs), "sketched")
     sets = table.filter("n_shingles > 0 and doc_id is not null")
-    nodes = scratch.keep(sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = scratch.keep(distinct_sets(sets), "nodes")
 
     members = nodes.select("node", F.posexplode("bands").alias("place", "band"))
     hubs = scratch.keep(members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1"), "hubs")
@@ -235,43 +261,49 @@ def near_duplicates(docs: DataFrame, least: int = 75) -> DataFrame:
         .filter(_maybe("a", "b", least))
         .select("hub", "member")
     )
-    links = confirmed(near, docs, least, scratch, "star")
+    links = confirmed(near, nodes, docs, least, scratch, "star")
     labels = scratch.keep(components(links, scratch, "first"), "labels")
 
     # What one bucket still holds in two components, the hub aside: every member has met it.
-    apart = shared.filter("size > 2").join(labels.select("node", "label"), "node", "left").select("band", "place", "node", "hub", F.coalesce("label", "node").alias("label"))
-    mixed = apart.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("band")
-    rest = scratch.keep(apart.filter("node <> hub").join(mixed, "band").select("band", "place", "node", "label"), "apart")
+    apart = scratch.keep(
+        shared.filter("size > 2").join(labels.select("node", "label"), "node", "left").select("band", "place", "node", "hub", F.coalesce("label", "node").alias("label")), "in-buckets")
+    mixed = scratch.keep(apart.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("band"), "mixed")
+    rest = scratch.keep(apart.filter("node <> hub").join(small(mixed, 8), "band").select("band", "place", "node", "label"), "apart")
     if rest.isEmpty():
         merged = spark.createDataFrame([], "label long, top long")
     else:
         merged = _second_pass(rest, nodes, docs, least, scratch)
     final = (
-        nodes.select("s1", "s2", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        .join(merged, "label", "left").select("s1", "s2", F.coalesce("top", "label").alias("component"))
+        nodes.select("s1", "s2", "node", "doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        .join(merged, "label", "left").select("s1", "s2", "doc", F.coalesce("top", "label").alias("component"))
     )
-    final = scratch.keep(final, "final")
-    known = sets.select("doc_id", "n_shingles", "s1", "s2").distinct().join(final, ["s1", "s2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    final = scratch.keep(final, "joined")
+    smallest = scratch.keep(final.groupBy("component").agg(F.min("doc").alias("component_id"), F.count("*").alias("nodes")), "smallest")
+    # A node alone, as most are, is its own smallest.
+    several = smallest.filter("nodes > 1").select("component", "component_id")
+    final = scratch.keep(final.join(small(several, 16), "component", "left").select("s1", "s2", F.coalesce("component_id", "doc").alias("component_id")), "final")
+    known = sets.select("doc_id", "n_shingles", "s1", "s2").distinct().join(final, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
     alone = table.filter("n_shingles = 0 and doc_id is not null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")).distinct()
     nameless = table.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
-    for name in ("hubs", "shared", "near", "labels", "apart", "nodes"):
+    for name in ("hubs", "shared", "near", "labels", "in-buckets", "apart", "nodes", "joined"):
         scratch.drop(name)
     return known.unionByName(alone).unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _cells(rest: DataFrame, cell: int) -> DataFrame:
+def _cells(rest: DataFrame, cell: int, scratch: Scratch) -> DataFrame:
     """``rest`` (band, place, node, label) with lo and hi: the pairs of blocks of its bucket that each member is needed in, and side.
 
     A component with over ``cell`` members in a bucket has blocks of its own, that do
     not meet each other; smaller ones share blocks.  A block has about ``cell`` members.
     """
-    counts = rest.groupBy("band", "label").agg(F.count("*").alias("c"))
-    big = counts.filter(F.col("c") > cell).select("band", F.col("label").alias("big"), F.ceil(F.col("c") / cell).alias("parts"))
-    little = counts.filter(F.col("c") <= cell).groupBy("band").agg(F.ceil(F.sum("c") / cell).alias("parts")).select("band", F.lit(None).cast("long").alias("big"), "parts")
+    counts = scratch.keep(rest.groupBy("band", "label").agg(F.count("*").alias("c")), "counts")
+    big = scratch.keep(counts.filter(F.col("c") > cell).select("band", F.col("label").alias("big"), F.ceil(F.col("c") / cell).alias("parts")), "big")
+    little = scratch.keep(counts.filter(F.col("c") <= cell).groupBy("band").agg(F.ceil(F.sum("c") / cell).alias("parts")).select("band", F.lit(None).cast("long").alias("big"), "parts"), "little")
     spread = big.unionByName(little)
     blocks = spread.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("big", "part"))).alias("blocks"))
-    own = rest.join(big.select("band", F.col("big").alias("label"), "big", F.col("parts").alias("own")), ["band", "label"], "left")
-    own = own.join(little.select("band", F.col("parts").alias("shared")), "band", "left").join(blocks, "band")
+    blocks = scratch.keep(blocks, "blocks")
+    own = rest.join(small(big.select("band", F.col("big").alias("label"), "big", F.col("parts").alias("own")), 32), ["band", "label"], "left")
+    own = own.join(small(little.select("band", F.col("parts").alias("shared")), 16), "band", "left").join(blocks, "band")
     part = F.when(F.col("big").isNotNull(), F.pmod(F.xxhash64("node"), F.col("own"))).otherwise(F.pmod(F.xxhash64("label"), F.col("shared")))
     at = F.array_position("blocks", F.struct("big", part.cast("long").alias("part"))).cast("int")
     others = F.filter(F.transform("blocks", lambda b, k: F.struct(b["big"].alias("big"), (k + 1).alias("k"))), lambda b: F.col("big").isNull() | ~b["big"].eqNullSafe(F.col("big")))
@@ -279,19 +311,71 @@ def _cells(rest: DataFrame, cell: int) -> DataFrame:
     return met.select("band", "place", "node", "label", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "at")
 
 
+_CELL = "band long, place int, lo int, hi int, at int, node long, label long, n long, bands array<long>, sketch array<long>"
+
+
+def _pairs(rows: list[dict], least: int) -> Iterator[tuple[int, int]]:
+    """Places of the members of different components in a cell that sizes and sketches let be alike.
+
+    A pair is looked at in the first band that both share.
+    """
+    label, at, n = (np.array([r[k] for r in rows]) for k in ("label", "at", "n"))
+    bands, sketch = np.array([r["bands"] for r in rows]), np.array([r["sketch"] for r in rows])
+    place, alone = rows[0]["place"], rows[0]["lo"] == rows[0]["hi"]
+    limit = most_differing(least / 100 - MARGIN)
+    for i in range(len(rows) - 1):
+        later = np.arange(i + 1, len(rows))
+        later = later[(label[later] != label[i]) & (alone | (at[later] != at[i]))]
+        later = later[100 * np.minimum(n[later], n[i]) >= least * np.maximum(n[later], n[i])]
+        later = later[np.bitwise_count((sketch[later] ^ sketch[i]).view(np.uint64)).sum(axis=1) <= limit]
+        later = later[~(bands[later, :place] == bands[i, :place]).any(axis=1)]
+        for j in later.tolist():
+            yield i, j
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[list[dict]]:
+    """The rows of each cell; a row that comes twice counts once."""
+    held: list[dict] = []
+    for batch in batches:
+        rows = (batch.drop_columns(["text"]) if texts else batch).to_pylist()
+        if texts:
+            rows = [row | {"text": text} for row, text in zip(rows, as_bytes(batch.column("text")), strict=True)]
+        for row in rows:
+            if held and any(held[0][k] != row[k] for k in ("band", "lo", "hi")):
+                yield held
+                held = []
+            if not held or held[-1]["node"] != row["node"]:
+                held.append(row)
+    if held:
+        yield held
+
+
+def _needed(least: int):
+    """Of cells without texts, the rows that some pair needs."""
+    names = [c.split()[0] for c in _CELL.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        for rows in _by_cell(batches, False):
+            some = sorted({k for pair in _pairs(rows, least) for k in pair})
+            if some:
+                schema = schema or pa.schema([(c, {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}[t]) for c, t in (x.split() for x in _CELL.split(", "))])
+                yield pa.RecordBatch.from_pylist([{c: rows[k][c] for c in names} for k in some], schema=schema)
+        release()
+
+    return run
+
+
 def _meet(least: int):
     """Cells one after another; of each, the confirmed links between members of different components.
 
-    A pair is looked at in the first band that both share.  Links that join nothing new
-    in the cell are left out: a cell of n members gives n - 1 at most.
+    Links that join nothing new in the cell are left out: a cell of n members gives
+    n - 1 at most.
     """
 
     def links(rows: list[dict]) -> Iterator[tuple[int, int]]:
-        label, at, n = (np.array([r[k] for r in rows]) for k in ("label", "at", "n"))
-        bands, sketch = np.array([r["bands"] for r in rows]), np.array([r["sketch"] for r in rows])
-        place, alone = rows[0]["place"], rows[0]["lo"] == rows[0]["hi"]
         sets: dict[int, np.ndarray] = {}
-        top = {x: x for x in label.tolist()}
+        top = {r["label"]: r["label"] for r in rows}
 
         def find(x: int) -> int:
             while top[x] != x:
@@ -303,45 +387,33 @@ def _meet(least: int):
                 sets[i] = shingle_set(rows[i]["text"])
             return sets[i]
 
-        limit = most_differing(least / 100 - MARGIN)
-        for i in range(len(rows) - 1):
-            later = np.arange(i + 1, len(rows))
-            later = later[(label[later] != label[i]) & (alone | (at[later] != at[i]))]
-            later = later[100 * np.minimum(n[later], n[i]) >= least * np.maximum(n[later], n[i])]
-            later = later[np.bitwise_count((sketch[later] ^ sketch[i]).view(np.uint64)).sum(axis=1) <= limit]
-            later = later[~(bands[later, :place] == bands[i, :place]).any(axis=1)]
-            for j in later.tolist():
-                a, b = find(int(label[i])), find(int(label[j]))
-                if a != b and _similar(of(i), of(j), least):
-                    top[max(a, b)] = min(a, b)
-                    yield int(label[i]), int(label[j])
+        for i, j in _pairs(rows, least):
+            a, b = find(rows[i]["label"]), find(rows[j]["label"])
+            if a != b and _similar(of(i), of(j), least):
+                top[max(a, b)] = min(a, b)
+                yield rows[i]["label"], rows[j]["label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            texts = as_bytes(batch.column("text"))
-            for row, text in zip(batch.drop_columns(["text"]).to_pylist(), texts, strict=True):
-                if held and any(held[0][k] != row[k] for k in ("band", "lo", "hi")):
-                    out += links(held)
-                    held = []
-                held.append(row | {"text": text})
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["hub", "member"])
-        if held:
-            out = list(links(held))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["hub", "member"])
+        for rows in _by_cell(batches, True):
+            out = list(links(rows))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["hub", "member"])
+        release()
 
     return run
 
 
 def _second_pass(rest: DataFrame, nodes: DataFrame, docs: DataFrame, least: int, scratch: Scratch, cell: int = CELL) -> DataFrame:
-    """(label, top): components of the first pass that a link between members of one bucket joins."""
-    cells = scratch.keep(_cells(rest, cell), "cells")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), whole().alias("text"))
-    involved = scratch.keep(cells.select("node").distinct(), "involved")
-    # A text is brought to each node once, then to the node's cells.
-    own = texts.join(small(involved, 16), "node", "left_semi").groupBy("node").agg(F.collect_set("text").alias("texts")).select("node", F.explode("texts").alias("text"))
-    rows = cells.join(nodes.select("node", "n", "bands", "sketch"), "node").join(own, "node")
+    """(label, top): components of the first pass that a link between members of one bucket joins.
+
+    Sizes and sketches meet in the cells first; texts come only to those that a pair needs.
+    """
+    names = [c.split()[0] for c in _CELL.split(", ")]
+    cells = scratch.keep(_cells(rest, cell, scratch), "cells")
+    rows = cells.join(nodes.select("node", "n", "bands", "sketch"), "node").select(*names)
     dealt = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "node")
-    links = scratch.keep(dealt.select("band", "place", "lo", "hi", "at", "node", "label", "n", "bands", "sketch", "text").mapInArrow(_meet(least), "hub long, member long").distinct(), "rest-links")
+    needed = scratch.keep(dealt.mapInArrow(_needed(least), _CELL), "needed")
+    with_texts = _texts_of(needed.withColumn("id", F.col("node")), nodes, docs).withColumnRenamed("id", "node")
+    dealt = with_texts.select(*names, "text").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "node")
+    links = scratch.keep(dealt.mapInArrow(_meet(least), "hub long, member long").distinct(), "rest-links")
     return scratch.keep(components(links, scratch, "second").withColumnRenamed("label", "top").withColumnRenamed("node", "label"), "merged")

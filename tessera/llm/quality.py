@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytesops import SPACE, mix64, span_hashes
-from tessera.llm.shared import as_bytes, groups, whole
+from tessera.llm.shared import as_bytes, free, groups, release, whole
 
 BUCKETS, DIMS, NONZERO = 8192, 32, 2
 #: Neighbours on either side that count as context.
@@ -105,6 +105,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(NONZERO):
                     for word, other in ((left, right), (right, left)):
                         total += np.bincount(word * DIMS + _PLACE[other, k], weights=_SIGN[other, k], minlength=BUCKETS * DIMS).astype(np.int64)
+    release()
     table = total.reshape(BUCKETS, DIMS)
     some = np.flatnonzero(table.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(table[some, d]) for d in range(DIMS))], names=["bucket", *(f"c{d}" for d in range(DIMS))])
@@ -220,7 +221,8 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Network:
     """Word vectors from all of ``docs``; a network from at most ``most_rows`` labelled documents that aren't held out.
 
-    Of a doc_id's several labels the mean counts, a half as 1; null labels and ids do not.
+    Of a doc_id's several labels the mean counts, a half as 1, and of its several texts
+    the smallest; null labels and ids do not.
     """
     vectors = word_vectors(docs)
     chosen = (
@@ -237,8 +239,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Netwo
 
     # At most most_rows ids: a proven bound for the broadcast.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(pooled, "doc_id long, quality int, x array<float>")
-    table = rows.toPandas().sort_values("doc_id", kind="stable").head(2 * most_rows)
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    table = one.mapInArrow(pooled, "doc_id long, quality int, x array<float>").toPandas().sort_values("doc_id", kind="stable")
     width = 3 * DIMS + 2 + _CLASSES
     x = np.array([*table["x"]], dtype=np.float32).reshape(len(table), width)
     order = np.argsort(mix64(np.arange(len(table), dtype=np.uint64)), kind="stable")
@@ -252,6 +254,7 @@ def scored(docs: DataFrame, network: Network, column: str = "score") -> DataFram
         for batch in batches:
             score = network.score(as_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, column])
+        release()
 
     return docs.mapInArrow(run, docs.withColumn(column, F.lit(0.0)).schema)
 
@@ -271,5 +274,5 @@ def quality_report(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROW
 
 def without_rejected(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """The rows of ``docs`` with a score of THRESHOLD or more, all columns as they are."""
-    column = next(c for c in (f"_score{'_' * k}" for k in range(9)) if c not in docs.columns)
+    column = free("_score", docs)
     return scored(docs, fit(docs, labels, most_rows), column).filter(F.col(column) >= THRESHOLD).select(*docs.columns)

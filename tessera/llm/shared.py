@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here if that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set: the warehouse, which a cluster shares too.  Never a machine's
+    own temporary folder.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="tessera-")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tessera-scratch"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -70,11 +74,29 @@ def small(df: DataFrame, row_bytes: int, limit: int = 16 << 20) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """``name``, or the first of it with underscores behind that no column of ``frames`` has, whatever its case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def whole(text: str | Column = "text") -> Column:
     """A text with null taken as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def release() -> None:
+    """Give freed memory back to the machine: Python workers are used again, and wait with all that their last task took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only where the C library can
+        pass
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null gives none."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
