@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm import near_dedup, packing, quality, suffix_dedup
 from tessera.llm.entry import WORD_BPE
-from tessera.llm.shared import Scratch, small
+from tessera.llm.shared import Scratch, free, small
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject.
+
+    Every row is scored by its whole text alone: repeated rows and rows without a
+    doc_id alike, null and empty texts as texts without words.  Without usable labels
+    every score is a half, which keeps all.  An empty table stays empty.
+    """
     return quality.without_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -27,31 +32,43 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     that share a doc_id, or have none, are documents of their own: each is joined to its
     own near-duplicates, and one that is like no other stays.  Of a group's texts with
     the same doc_id, the one with the smallest key stays.  Null texts and those without
-    words are like no other.  The keys are 64-bit hashes of doc_id and text: among ten
-    million rows, any two share one with probability 3e-6.
+    words are like no other.  An empty table stays empty; columns of any name are kept.
+    The keys are 64-bit hashes of doc_id and text: among ten million rows, any two share
+    one with probability 3e-6.
     """
     scratch = Scratch(spark)
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    again = scratch.keep(keyed.groupBy("_key").count().filter("count > 1").select("_key"), "again")
+    key = free("_key", docs)
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    again = scratch.keep(keyed.groupBy(key).count().filter("count > 1").select(key), "again")
     # Only repeated rows are dealt by key; a key's copies are reduced before they travel.
-    once = scratch.keep(keyed.join(small(again, 8), "_key", "left_semi").select(keyed.columns).dropDuplicates(["_key"]), "once")
-    rows = keyed.join(small(again, 8), "_key", "left_anti").select(keyed.columns).unionByName(once)
+    once = scratch.keep(keyed.join(small(again, 8), key, "left_semi").select(keyed.columns).dropDuplicates([key]), "once")
+    rows = keyed.join(small(again, 8), key, "left_anti").select(keyed.columns).unionByName(once)
 
-    found = near_dedup.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
-    ids = rows.select("_key", F.col("doc_id").cast("long").alias("id"))
-    found = scratch.keep(found.join(ids, "_key"), "found")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_key"))["_key"].alias("_key"))
-    gone = scratch.keep(found.join(first, "_key", "left_anti").select("_key"), "gone")
-    return rows.join(small(gone, 8), "_key", "left_anti").select(docs.columns)
+    found = near_dedup.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id")
+    ids = rows.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("id"))
+    found = scratch.keep(found.join(ids, "key"), "found")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("key"))
+    gone = scratch.keep(found.join(first, "key", "left_anti").select(F.col("key").alias(key)), "gone")
+    return rows.join(small(gone, 8), key, "left_anti").select(docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 200 bytes or more that occur anywhere else."""
+    """Texts without the passages of 200 bytes or more that occur anywhere else, wherever they occur.
+
+    Every row stays: one whose text is all repeated has an empty text, a null text
+    stays null, and repeated rows are each other's repetition.  Rows without a doc_id
+    are texts like any.  Very long texts are cut whole.  An empty table stays empty.
+    """
     return suffix_dedup.without_repeats(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Sequences of at most 2048 tokens: a row per piece of a document.
+
+    Null and empty texts are one token each, repeated rows are packed each, a null
+    doc_id stays null, and only texts of over 2048 tokens are cut.  Equal lengths are
+    packed in order of doc_id.  An empty table gives no rows; other columns go.
+    """
     return packing.pack_documents(docs, WORD_BPE, 2048)
 
 
