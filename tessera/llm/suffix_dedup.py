@@ -1,20 +1,24 @@
 """Repeated byte windows by a depth-limited radix sort of suffixes.
 
-Suffixes are ordered only through their first ``depth`` bytes, by most significant
-digit first, and a group that a digit leaves with one member goes no further; what
-is equal after the last digit are exactly the repeated windows.  Digits are 64-bit
-fingerprints of stated parts of the window rather than its raw bytes, so that few
-passes reach the depth:
-
-1. The window's anchor: its least-hashed substring of 40 bytes, the leftmost of
-   equals.  Equal windows have equal anchors at equal places, and neighbouring
-   windows mostly share one, so a run of them travels as one row.
-2. The run's whole stretch of bytes.  Equal stretches hold equal windows throughout;
-   they are counted, and one stands for them all from here on.
-3. Within the anchors that still hold unequal stretches: both halves of each window.
-
-An anchor with over ``hot`` unequal stretches sends its windows one by one to a
-grouped count instead of into one task, so no group is unbounded.
+Suffixes are ordered only through their first ``depth`` bytes, most significant digit
+first, and a group that a digit leaves with one member goes no further; what is equal
+after the last digit are exactly the repeated windows.  A digit is eight bytes of the
+text itself, so the order and the equality are those of the bytes.
+
+So that not every byte of a corpus becomes a row, suffixes reach the sort in runs:
+
+1. They are dealt by the anchor of their window: its least-hashed substring of 40
+   bytes, the leftmost of equals.  Equal windows have equal anchors at equal places,
+   so they meet; neighbouring windows mostly share one, so a run of them travels as
+   one row.  An anchor that occurs once holds no repeated window.
+2. Runs whose whole stretches of bytes have equal 128-bit cryptographic digests
+   (BLAKE2b) are equal windows throughout; one stands for them all in the sort.
+3. Each anchor's unequal stretches are sorted: digits of eight bytes from offset 0 to
+   ``depth``, groups of one dropped after every pass.
+
+An anchor with over ``split`` unequal stretches is dealt by its place in the window
+too: windows that hold it at different places are unequal.  One with over ``hot``
+sends its windows' digests, one by one, to a grouped count, so no group is unbounded.
 """
 
 from __future__ import annotations
@@ -27,15 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bytesops import WindowHasher, leftmost_argmin, mix64
-from tessera.llm.shared import Scratch, as_bytes, groups, partitions_for, whole
+from tessera.llm.bytesops import WindowHasher, leftmost_argmin
+from tessera.llm.shared import Scratch, as_bytes, free, groups, partitions_for, release, whole
 
 DEPTH = 200
 ANCHOR = 40
 HOT = 20_000
+#: Unequal stretches of an anchor from which its windows are dealt by the anchor's place in them, in blocks of ``PLACES``.
+SPLIT, PLACES = 500, 16
+#: Bytes of a digit.
+DIGIT = 8
 _BLOCK = 1 << 18
 
-_RUNS = "a long, s long, doc_id long, h long, lo int, n int"
+_RUNS = "a long, s binary, doc_id long, h long, lo int, n int, at int"
+_STRETCHES = "a long, part int, many int, hot boolean, doc_id long, h long, lo int, raw binary"
 _KEY = ["doc_id", "h"]
 
 
@@ -54,6 +63,10 @@ def _blocks(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.nda
             yield np.frombuffer(b"".join(texts[i] for i in own), np.uint8), np.array(own), starts, np.zeros(len(own), dtype=np.int64)
 
 
+def _digest(raw: memoryview) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
 def _runs(depth: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,64 +85,93 @@ def _runs(depth: int, anchor: int):
                 good = hi > lo
                 lo, hi, which = lo[good], hi[good], which[good]
                 n = hi - lo
-                stretch = hasher.at(lo, n + depth - 1) + mix64((best[lo] - lo).astype(np.uint64))
+                raw = memoryview(np.ascontiguousarray(data))
+                stretch = [_digest(raw[i:j]) for i, j in zip(lo.tolist(), (hi + depth - 1).tolist(), strict=True)]
                 rows = pa.array(own[which])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[best[lo]].view(np.int64)), pa.array(stretch.view(np.int64)), ids.take(rows), hashes.take(rows), pa.array((lo - starts[which] + at[which]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["a", "s", "doc_id", "h", "lo", "n"],
+                    [pa.array(grams[best[lo]].view(np.int64)), pa.array(stretch, pa.binary()), ids.take(rows), hashes.take(rows), pa.array((lo - starts[which] + at[which]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array((best[lo] - lo).astype(np.int32))],
+                    names=["a", "s", "doc_id", "h", "lo", "n", "at"],
                 )
+        release()
 
     return run
 
 
-def _stretches(depth: int):
-    """Each text's wanted runs: the bytes of a run, or its single windows' fingerprints for a hot anchor."""
+def _parts(lo: np.ndarray, n: np.ndarray, at: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs cut by the anchor's place in their windows, if ``wide``: run, part, and first window and number of windows of each."""
+    last = at - n + 1  # the anchor's place in the run's last window
+    first_part, last_part = np.where(wide, at // PLACES, 0), np.where(wide, last // PLACES, 0)
+    count = first_part - last_part + 1
+    run = np.repeat(np.arange(len(lo)), count)
+    part = first_part[run] - (np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count))
+    high = np.where(wide[run], np.minimum(at[run], part * PLACES + PLACES - 1), at[run])
+    low = np.where(wide[run], np.maximum(last[run], part * PLACES), last[run])
+    return run, part, lo[run] + at[run] - high, high - low + 1
+
+
+def _stretches(depth: int, split: int):
+    """Each text's wanted runs: the bytes of each run, or of its parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, wants = as_bytes(batch.column("text")), batch.column("wants")
             flat = wants.flatten()
-            counts = np.diff(wants.offsets.to_numpy())
-            rows = np.repeat(np.arange(len(texts)), counts)
-            get = lambda name: flat.field(name).to_numpy()
-            lo, n = get("lo"), get("n")
+            rows = np.repeat(np.arange(len(texts)), np.diff(wants.offsets.to_numpy()))
+            get = lambda name: flat.field(name).to_numpy(zero_copy_only=False)
+            of, part, lo, n = _parts(get("lo"), get("n"), get("at"), (get("kinds") > split) & ~get("hot"))
+            rows = rows[of]
             for i, j in groups((n + depth).tolist(), 8 << 20):
                 raw = [texts[r][a : a + k + depth - 1] for r, a, k in zip(rows[i:j].tolist(), lo[i:j].tolist(), n[i:j].tolist(), strict=True)]
-                take = pa.array(rows[i:j])
+                take, own = pa.array(rows[i:j]), pa.array(of[i:j])
                 yield pa.RecordBatch.from_arrays(
-                    [flat.field("a").slice(i, j - i), flat.field("many").slice(i, j - i), flat.field("hot").slice(i, j - i), batch.column("doc_id").take(take), batch.column("h").take(take), flat.field("lo").slice(i, j - i), pa.array(raw, pa.binary())],
-                    names=["a", "many", "hot", "doc_id", "h", "lo", "raw"],
+                    [flat.field("a").take(own), pa.array(part[i:j].astype(np.int32)), flat.field("many").take(own), flat.field("hot").take(own), batch.column("doc_id").take(take), batch.column("h").take(take), pa.array(lo[i:j].astype(np.int32)), pa.array(raw, pa.binary())],
+                    names=[c.split()[0] for c in _STRETCHES.split(", ")],
                 )
+        release()
 
     return run
 
 
 def _windows(raw: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the windows of all stretches: stretch, place in it, and the fingerprints of both halves."""
+    """All stretches one after another, and of each window its stretch, its place in it and its start in all of them."""
     sizes = np.array([len(r) for r in raw], dtype=np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    hasher = WindowHasher(np.frombuffer(b"".join(raw), np.uint8))
     n = sizes - depth + 1
     which = np.repeat(np.arange(len(raw)), n)
     place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    at = starts[which] + place
-    half = depth // 2
-    return which, place, hasher.at(at, half), hasher.at(at + half, depth - half)
-
-
-def _repeated(group: np.ndarray, digits: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Radix passes, a digit each; groups of one are left after every pass.  Returns the windows that stay, and their group numbers."""
-    alive, number = np.arange(len(group)), group.astype(np.uint64)
-    for digit in digits:
-        key = mix64(number * np.uint64(0x9E3779B97F4A7C15) + digit[alive])
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.ones(len(key), dtype=bool)
-        first[1:] = key[1:] != key[:-1]
-        member = np.cumsum(first) - 1
-        stays = np.bincount(member)[member] > 1 if len(member) else np.zeros(0, dtype=bool)
-        alive, number = alive[order][stays], key[stays]
-    return alive, number
+    return np.frombuffer(b"".join(raw), np.uint8), which, place, starts[which] + place
+
+
+def _radix(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+    """The windows at ``starts`` that another of the same ``group`` equals, in order of group and bytes.
+
+    Most significant digit first: a pass orders the members of each group by their next
+    eight bytes, splits it where they differ, and drops what is left alone.  ``group``
+    must ascend.
+    """
+    padded = np.concatenate([data, np.zeros(DIGIT, dtype=np.uint8)])
+    word = np.zeros(len(data), dtype=np.uint64)
+    for k in range(DIGIT):
+        word |= padded[k : k + len(data)].astype(np.uint64) << np.uint64(8 * (DIGIT - 1 - k))
+    alive, number = np.arange(len(starts)), group
+    for offset in range(0, depth, DIGIT):
+        if not len(alive):
+            break
+        digit = word[starts[alive] + offset] >> np.uint64(8 * max(0, DIGIT - (depth - offset)))
+        fresh = np.ones(len(alive), dtype=bool)
+        fresh[1:] = number[1:] != number[:-1]
+        member = np.cumsum(fresh) - 1
+        unlike = np.zeros(len(alive), dtype=bool)
+        unlike[1:] = ~fresh[1:] & (digit[1:] != digit[:-1])
+        if unlike.any():  # only groups that hold different digits are ordered
+            mixed = np.flatnonzero((np.bincount(member, weights=unlike) > 0)[member])
+            order = mixed[np.lexsort((digit[mixed], member[mixed]))]
+            alive[mixed], digit[mixed] = alive[order], digit[order]
+            fresh[1:] |= digit[1:] != digit[:-1]
+            member = np.cumsum(fresh) - 1
+        stays = (np.bincount(member) > 1)[member]
+        alive, number = alive[stays], member[stays]
+    return alive
 
 
 def _spans(rows: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,12 +186,13 @@ def _spans(rows: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray
 
 
 def _ordered(depth: int):
-    """Stretches dealt by anchor, sorted by it: windows of one anchor are compared in memory, at most ``HOT`` stretches at once."""
+    """Stretches dealt by anchor and part, sorted by them: the windows of each are radix-sorted in memory, at most ``HOT`` stretches at once."""
 
     def emit(table: pa.Table) -> pa.RecordBatch:
-        names, number = np.unique(table.column("a").to_numpy(), return_inverse=True)
-        which, place, *digits = _windows([x for x in table.column("raw").to_pylist()], depth)
-        alive, _ = _repeated(number[which], tuple(digits))
+        keys = np.stack([table.column(c).to_numpy() for c in ("a", "part")])
+        number = np.cumsum(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)))) - 1
+        data, which, place, starts = _windows(table.column("raw").to_pylist(), depth)
+        alive = _radix(data, starts, number[which], depth)
         many = table.column("many").to_numpy()
         alive = alive[many[which[alive]] == 1]  # runs with equals are removed already
         row, start, end = _spans(which[alive], place[alive], depth)
@@ -160,49 +203,41 @@ def _ordered(depth: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a = batch.column("a").to_numpy()
-            if held and size > 1 << 20:
-                own = held[-1].column("a")[-1].as_py()
-                cut = int(np.searchsorted(a != own, True)) if a[0] == own else 0
-                if cut < len(a):  # another anchor begins: what is held is whole
-                    held.append(batch.slice(0, cut))
-                    yield emit(pa.Table.from_batches(held))
-                    held, size, batch = [], 0, batch.slice(cut)
-            # a batch is cut at its last change of anchor, so that little is held
-            a = batch.column("a").to_numpy()
-            change = np.flatnonzero(a[1:] != a[:-1])
+            # What is held ends where another group begins; a batch is cut at its last change, so that little is held.
+            ends = [(c.column("a")[k].as_py(), c.column("part")[k].as_py()) for c, k in ([(held[-1], -1)] if held else [(batch, 0)])]
+            keys = np.stack([batch.column(c).to_numpy() for c in ("a", "part")])
+            before = np.concatenate([np.array(ends[0])[:, None], keys[:, :-1]], axis=1)
+            change = np.flatnonzero((keys != before).any(axis=0))
             if len(change):
-                cut = int(change[-1]) + 1
-                held.append(batch.slice(0, cut))
+                held.append(batch.slice(0, int(change[-1])))
                 yield emit(pa.Table.from_batches(held))
-                held, size, batch = [], 0, batch.slice(cut)
+                held, batch = [], batch.slice(int(change[-1]))
             held.append(batch)
-            size += batch.nbytes
         if held:
             yield emit(pa.Table.from_batches(held))
+        release()
 
     return run
 
 
 def _fingerprints(depth: int):
-    """Single windows of hot anchors, keyed by both digits."""
+    """Single windows of hot anchors, keyed by their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("raw").to_pylist()
             for i, j in groups([len(r) for r in raw], 1 << 20):
-                which, place, left, right = _windows(raw[i:j], depth)
+                data, which, place, starts = _windows(raw[i:j], depth)
+                view = memoryview(np.ascontiguousarray(data))
+                key = [_digest(view[k : k + depth]) for k in starts.tolist()]
                 part = batch.slice(i, j - i)
                 take = pa.array(which)
                 lo = part.column("lo").to_numpy()[which] + place
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c).take(take) for c in ("a", "many", *_KEY)] + [pa.array(lo.astype(np.int64)), pa.array(left.view(np.int64)), pa.array(right.view(np.int64))],
-                    names=["a", "many", *_KEY, "lo", "left", "right"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(c).take(take) for c in ("a", "many", *_KEY)] + [pa.array(lo.astype(np.int64)), pa.array(key, pa.binary())], names=["a", "many", *_KEY, "lo", "w"])
+        release()
 
     return run
 
@@ -219,47 +254,51 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[at, 0], reach[np.append(at[1:], len(spans)) - 1]], axis=1)
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
-    """doc_id, h (hash of the text) and spans (array of (lo, hi) bytes, not merged) of each text with a window of ``depth`` bytes that also starts anywhere else."""
+def repeated_spans(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, anchor: int = ANCHOR, hot: int = HOT, split: int = SPLIT) -> DataFrame:
+    """doc_id, h (hash of the text) and spans (array of (lo, hi) bytes, not merged) of each text with a window of ``depth`` bytes that also starts anywhere else.
+
+    Counts behind a join are written first: else the join keeps their partitioning, and
+    all rows of a hot anchor in one task.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).withColumn("h", F.xxhash64("text"))
     long = texts.filter(F.octet_length("text") >= depth)
     runs = scratch.keep(long.mapInArrow(_runs(depth, anchor), _RUNS), "runs")
 
-    # Digit 1: anchors that occur once hold no repeated window.
-    # They are written first: a join right behind the count would keep its partitioning, and a hot anchor in one task.
+    # Anchors that occur once hold no repeated window.
     twice = scratch.keep(runs.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a"), "twice")
     left = scratch.keep(runs.join(twice, "a"), "left")
     scratch.drop("runs")
 
-    # Digit 2: equal stretches; the first of them stands for the rest.
-    kinds = scratch.keep(left.groupBy("a", "s").agg(F.count("*").alias("many"), F.min(F.struct("doc_id", "h", "lo", "n")).alias("r")), "kinds")
+    # Equal stretches; the first of them stands for the rest.
+    kinds = scratch.keep(left.groupBy("a", "s").agg(F.count("*").alias("many"), F.min(F.struct("doc_id", "h", "lo", "n", "at")).alias("r")), "kinds")
     same = left.join(kinds.filter("many > 1").select("a", "s"), ["a", "s"], "left_semi").select(*_KEY, F.col("lo").cast("long").alias("lo"), (F.col("lo") + F.col("n") + (depth - 1)).cast("long").alias("hi"))
 
-    # Digit 3: anchors with unequal stretches of which one at least has no equal.
-    open_ = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.min("many").alias("least")).filter("kinds > 1 and least = 1")
-    wanted = kinds.join(open_.select("a", (F.col("kinds") > hot).alias("hot")), "a").select("a", F.least("many", F.lit(2)).cast("int").alias("many"), "hot", "r.*")
-    per_text = wanted.groupBy(*_KEY).agg(F.collect_list(F.struct("a", "many", "hot", "lo", "n")).alias("wants"))
+    # Anchors with unequal stretches of which one at least has no equal are sorted.
+    open_ = scratch.keep(kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.min("many").alias("least")).filter("kinds > 1 and least = 1"), "open")
+    wanted = kinds.join(open_.select("a", "kinds"), "a").select("a", F.least("many", F.lit(2)).cast("int").alias("many"), "kinds", (F.col("kinds") > hot).alias("hot"), "r.*")
+    per_text = wanted.groupBy(*_KEY).agg(F.collect_list(F.struct("a", "many", "kinds", "hot", "lo", "n", "at")).alias("wants"))
     per_text = per_text.select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), "wants")
     both = long.join(per_text, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h"))).select(*_KEY, "text", "wants")
-    raw = scratch.keep(both.mapInArrow(_stretches(depth), "a long, many int, hot boolean, doc_id long, h long, lo int, raw binary"), "stretches")
-    size = raw.filter("not hot").agg(F.count("*"), F.sum(F.octet_length("raw"))).first()
-    n = partitions_for(size[1] or 0, 4 << 20)
-    cold = raw.filter("not hot").select("a", "many", *_KEY, "lo", "raw").repartition(n, "a").sortWithinPartitions("a").mapInArrow(_ordered(depth), "doc_id long, h long, lo long, hi long")
-    single = raw.filter("hot").select("a", "many", *_KEY, "lo", "raw").mapInArrow(_fingerprints(depth), "a long, many int, doc_id long, h long, lo long, left long, right long")
-    again = single.groupBy("a", "left", "right").agg(F.count("*").alias("c")).filter("c > 1").select("a", "left", "right")
-    hot_ones = single.filter("many = 1").join(again, ["a", "left", "right"], "left_semi").select(*_KEY, "lo", (F.col("lo") + depth).alias("hi"))
+    raw = scratch.keep(both.mapInArrow(_stretches(depth, split), _STRETCHES), "stretches")
+    size = raw.filter("not hot").agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    cold = raw.filter("not hot").select("a", "part", "many", *_KEY, "lo", "raw").repartition(partitions_for(size, 4 << 20), "a", "part").sortWithinPartitions("a", "part").mapInArrow(_ordered(depth), "doc_id long, h long, lo long, hi long")
+    single = raw.filter("hot").select("a", "many", *_KEY, "lo", "raw").mapInArrow(_fingerprints(depth), "a long, many int, doc_id long, h long, lo long, w binary")
+    again = scratch.keep(single.groupBy("a", "w").agg(F.count("*").alias("c")).filter("c > 1").select("a", "w"), "again")
+    hot_ones = single.filter("many = 1").join(again, ["a", "w"], "left_semi").select(*_KEY, "lo", (F.col("lo") + depth).alias("hi"))
     spans = same.unionByName(cold).unionByName(hot_ones)
     out = scratch.keep(spans.groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    for name in ("twice", "left", "kinds", "stretches"):
+    for name in ("twice", "left", "kinds", "open", "stretches", "again"):
         scratch.drop(name)
     return out
 
 
-def _with_spans(docs: DataFrame, depth: int, anchor: int, hot: int) -> DataFrame:
+def _with_spans(docs: DataFrame, depth: int, anchor: int, hot: int, split: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with each whole text and its spans, and the names of those two columns."""
     scratch = Scratch(docs.sparkSession)
-    spans = repeated_spans(docs, scratch, depth, anchor, hot).select(F.col("doc_id").alias("_span_id"), F.col("h").alias("_span_h"), F.col("spans").alias("_spans"))
-    texts = docs.withColumn("_text", whole()).withColumn("_h", F.xxhash64("_text"))
-    return texts.join(spans, texts["doc_id"].cast("long").eqNullSafe(F.col("_span_id")) & (F.col("_h") == F.col("_span_h")), "left").drop("_span_id", "_span_h", "_h")
+    text, hashed, spans, of, of_h = (free(name, docs) for name in ("_text", "_h", "_spans", "_span_id", "_span_h"))
+    found = repeated_spans(docs, scratch, depth, anchor, hot, split).select(F.col("doc_id").alias(of), F.col("h").alias(of_h), F.col("spans").alias(spans))
+    texts = docs.withColumn(text, whole()).withColumn(hashed, F.xxhash64(text))
+    return texts.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(hashed) == F.col(of_h)), "left").drop(of, of_h, hashed), text, spans
 
 
 def _cut(raw: bytes, spans) -> tuple[bytes, int, int]:
@@ -282,9 +321,10 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.int64()), pa.array([hashlib.sha256(c[0]).hexdigest() for c in cut], pa.string())],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
+    release()
 
 
-def repeated_report(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
+def repeated_report(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR, hot: int = HOT, split: int = SPLIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of ``docs``.
 
     A byte is removed if a window of ``depth`` bytes that covers it also starts
@@ -293,28 +333,34 @@ def repeated_report(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR, h
     another are texts like any: each is the other's repetition.  A null doc_id stays
     null.  Other columns are not read.
     """
-    rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), depth, anchor, hot)
+    rows, *_ = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), depth, anchor, hot, split)
     return rows.select("doc_id", "_text", "_spans").mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, nulls = as_bytes(batch.column("_text")), batch.column("text").is_null().to_pylist()
-        out = [None if null else _cut(t, s)[0].decode("utf-8", "ignore") for t, s, null in zip(texts, batch.column("_spans").to_pylist(), nulls, strict=True)]
-        columns = {name: batch.column(name) for name in batch.schema.names if name not in ("_text", "_spans")}
-        columns["text"] = pa.array(out, pa.string())
-        if "n_chars" in columns:
-            columns["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64())
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+def _texts(text: str, spans: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, nulls = as_bytes(batch.column(text)), batch.column("text").is_null().to_pylist()
+            out = [None if null else _cut(t, s)[0].decode("utf-8", "ignore") for t, s, null in zip(texts, batch.column(spans).to_pylist(), nulls, strict=True)]
+            columns = {name: batch.column(name) for name in batch.schema.names if name not in (text, spans)}
+            columns["text"] = pa.array(out, pa.string())
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        release()
+
+    return run
 
 
-def without_repeats(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR, hot: int = HOT, split: int = SPLIT) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text``, and ``n_chars``, if there, counted anew.
 
     A character of which only some bytes are covered goes whole.  Rows stay, with an
-    empty text if all is repeated; a null text stays null.
+    empty text if all is repeated; a null text stays null, a null doc_id null, and rows
+    that repeat another are each other's repetition.  An empty table stays empty.
+    Columns of any other name are kept as they are.
     """
-    rows = _with_spans(docs, depth, anchor, hot)
+    rows, text, spans = _with_spans(docs, depth, anchor, hot, split)
     n_chars = [f for f in docs.schema.fields if f.name == "n_chars"]
     schema = docs.withColumn("n_chars", F.col("n_chars").cast("long")).schema if n_chars else docs.schema
-    return rows.mapInArrow(_texts, schema)
+    return rows.mapInArrow(_texts(text, spans), schema)
