@@ -1,32 +1,38 @@
 """Best-fit packing with certified bin counts.
 
 Documents become pieces of at most ``capacity`` tokens.  Every partition packs its
-pieces by best-fit decreasing and computes a lower bound on the bins that they need
-from two families of dual-feasible functions.  Where the count meets the bound it is
-certified, and only the least filled bin is opened again; a partition with a gap
-gives up every bin that isn't full.  The pieces given up are dealt anew over fewer
-partitions and packed again, until one partition holds them or the whole count meets
-the bound of the whole histogram of lengths.
+pieces by best-fit decreasing and weighs them by two families of dual-feasible
+functions, whose totals are lower bounds on the bins that any packing needs.  The
+fullest bins are closed as long as their count is certified by the bound of what they
+hold, to within a small share of one bin.  The pieces of open bins are exchanged -
+dealt anew over fewer partitions - and packed again, until one partition holds them,
+the whole count meets the bound of the whole histogram of lengths, or an exchange
+saves neither a bin nor a partition.  :func:`certificate` tells what gap is left.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Scratch, partitions_for, whole
+from tessera.llm.shared import Scratch, groups, partitions_for, release, whole
 
 CAPACITY = 2048
 #: Pieces that one task packs at once.
 PIECES = 100_000
-ROUNDS = 6
+#: A partition's closed bins exceed their bound by at most this share of a bin, all together.
+WASTE = 1 / 128
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = f"{_PIECES}, sequence_id long, offset long, settled boolean"
@@ -42,138 +48,193 @@ def _letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class ChunkIds(dict):
-    """Token ids of a run of text without white space, as little-endian uint32 bytes.
+class TokenIds:
+    """Token ids of texts, as little-endian uint32 bytes.
 
-    White space never lies inside a token of the word vocabulary, so a text's ids are
-    those of its runs.  A run that ends in ASCII punctuation other than an apostrophe
-    is its core's ids and the punctuation's: a letter before punctuation is a boundary
-    of the tokenizer's pattern.  Cores of Latin letters, which the pattern keeps whole,
-    go straight to the vocabulary's merges; all else goes through the tokenizer.
+    White space never lies inside a token of the word vocabulary, and characters are
+    lower-cased one by one, so a text's ids are those of its runs between white space.
+    Runs of printable ASCII and Latin letters (U+00C0 to U+024F but dotted capital I)
+    are composed already: they are split by the tokenizer's pattern and go, as lines
+    of one text for many texts together, to the vocabulary's merges.  Any other run
+    goes through the tokenizer itself.
     """
 
-    _TAIL = ".,!*#%$&|;:?-()[]{}\"/+=<>@^_`~\\"
-    _MOST = 300_000
-    #: Marks the end of a word; no byte of UTF-8.
-    _END = b"\xff"
+    #: Fixed value: the tokenizer's pattern, for the characters that :attr:`_ODD` leaves.
+    _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+    _ORDINARY = "\t\n\r -~\u00c0-\u012f\u0131-\u024f"
+    _SPACE = re.compile("[ \n]")
 
     def __init__(self, path: str):
-        import json
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cores: dict[str, bytes] = {}
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([f"[^{self._ORDINARY}]", *map(re.escape, special)]))
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         end, letters, ranks = model.get("end_of_word_suffix") or "", _letters(), {}
         for token, number in model["vocab"].items():
             body = token.removesuffix(end) if end else token
             if all(c in letters for c in body):
-                ranks[bytes(letters[c] for c in body) + (self._END if end and token != body else b"")] = number
-        # Only if the ids are the order of the merges are they ranks.
+                ranks.setdefault(bytes(letters[c] for c in body) + (b"\n" if end and token != body else b""), number)
+        # Only if the ids are the order of the merges, and no token holds the mark of an end elsewhere, are they ranks.
         ordered = bool(end) and [model["vocab"]["".join(m)] for m in model["merges"]] == list(range(512, 512 + len(model["merges"])))
-        self.merges = tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}) if ordered else None
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    @staticmethod
-    def _latin(core: str) -> bool:
-        """Letters below U+0250 but dotted capital I: composed already, and lower-cased to letters one by one."""
-        return core.isalpha() and max(core) < "\u0250" and "\u0130" not in core
-
-    def _word(self, core: str) -> bytes:
-        if self.merges and self._latin(core):
-            return np.array(self.merges._encode_single_piece(core.lower().encode() + self._END), dtype="<u4").tobytes()
-        return self._ids(core)
-
-    def _split(self, chunk: str) -> tuple[str, str]:
-        core = chunk.rstrip(self._TAIL)
-        return (core, chunk[len(core) :]) if self._latin(core) else (chunk, "")
-
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.cores) > self._MOST:
-            self.cores.clear()
-        for chunk in chunks:
-            ids = b""
-            for part in self._split(chunk):
-                if part:
-                    own = self.cores.get(part)
-                    if own is None:
-                        own = self.cores[part] = self._word(part)
-                    ids += own
-            self[chunk] = ids
+        ordered = ordered and len(ranks) == len(model["vocab"]) and not any(b"\n" in t[:-1] for t in ranks if len(t) > 2)
+        self.merges = tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={}) if ordered else None
+        self.mark = ranks.get(b"\0\n")
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        if not self.merges:
+            return [self._ids(t).tobytes() for t in texts]
+        lines, odd, owner = [], [], []  # stretches of ordinary runs, the odd run behind each, and the text of both
+        for i, text in enumerate(texts):
+            at = 0
+            for begin, end in self._odd_runs(text):
+                lines.append(text[at:begin])
+                odd.append(text[begin:end])
+                owner.append(i)
+                at = end
+            lines.append(text[at:])
+            odd.append("")
+            owner.append(i)
+        # A line of U+0000, which no ordinary run has, ends each stretch.
+        together = "".join("\n".join(self._WORDS.findall(line.lower())) + "\n\0\n" for line in lines)
+        ids = self.merges.encode_to_numpy(together).astype("<u4")
+        ends = np.flatnonzero(ids == self.mark).tolist()
+        out: list[list[bytes]] = [[] for _ in texts]
+        for begin, end, run, i in zip([0, *(e + 1 for e in ends[:-1])], ends, odd, owner, strict=True):
+            out[i].append(ids[begin:end].tobytes())
+            if run:
+                out[i].append(self._ids(run).tobytes())
+        return [b"".join(x) for x in out]
+
+    def _odd_runs(self, text: str) -> Iterator[tuple[int, int]]:
+        """Begin and end of each run with a character beyond the ordinary ones, or with a special token."""
+        at = 0
+        for match in self.odd.finditer(text):
+            if match.start() >= at:
+                begin = max(at, 1 + max(text.rfind(" ", at, match.start()), text.rfind("\n", at, match.start())))
+                space = self._SPACE.search(text, match.end())
+                at = space.start() if space else len(text)
+                yield begin, at
 
     def encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.__getitem__, chunks))
-        except KeyError:
-            if len(self) > self._MOST:
-                self.clear()
-            self.learn({c for c in chunks if c not in self})
-            return b"".join(map(self.__getitem__, chunks))
+        return self.encode_all([text])[0]
+
+
+def _runs_of(text: str, size: int = 1 << 16) -> Iterator[str]:
+    """``text`` in parts of about ``size`` characters, cut at a space, so that a very long text is never split up at once."""
+    at = 0
+    while len(text) - at > size:
+        end = text.find(" ", at + size)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
 
 
-_KNOWN: dict[str, ChunkIds] = {}
+_KNOWN: dict[str, TokenIds] = {}
 
 
 def _encode(path: str, capacity: int):
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    names = [c.split()[0] for c in _PIECES.split(", ")]
+
+    def cut(doc: int | None, parts: list[bytes]) -> Iterator[tuple]:
+        raw = b"".join([*parts, b"\0\0\0\0"])
+        for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
+            own = raw[at : at + 4 * capacity]
+            yield doc, piece, at // 4, len(own) // 4, zlib.crc32(own)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _KNOWN:
-            _KNOWN[path] = ChunkIds(path)
+            _KNOWN[path] = TokenIds(path)
         ids_of = _KNOWN[path]
         for batch in batches:
-            out: list[tuple[int, int, int, int, int]] = []
-            texts, ids = batch.column("text"), batch.column("doc_id")
-            for i in range(batch.num_rows):
-                raw = ids_of.encode(texts[i].as_py()) + b"\0\0\0\0"
-                doc = ids[i].as_py()
-                for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=[c.split()[0] for c in _PIECES.split(", ")])
+            sizes = pc.binary_length(batch.column("text")).to_pylist()
+            for lo, hi in groups(sizes, 1 << 20):
+                texts, docs = batch.column("text").slice(lo, hi - lo).to_pylist(), batch.column("doc_id").slice(lo, hi - lo).to_pylist()
+                out: list[tuple] = []
+                if hi - lo > 1:
+                    for doc, own in zip(docs, ids_of.encode_all(texts), strict=True):
+                        out += cut(doc, [own])
+                else:  # it may be very long
+                    out += cut(docs[0], [ids_of.encode(part) for part in _runs_of(texts[0])])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=names)
+            del batch
+        release()
 
     return run
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32: each document's ids and an id 0, cut every ``capacity`` ids.  Null text: empty."""
+    """doc_id, piece, start, length and ids_crc32: each document's ids and an id 0, cut every ``capacity`` ids.  Null text: empty.
+
+    Ids are the tokenizer's as its file sets it up: the strings of its special tokens
+    in a text are those tokens, and none is added.
+    """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).mapInArrow(_encode(tokenizer_file, capacity), _PIECES)
 
 
 # -- bounds and bins -----------------------------------------------------------
 
 
-def lower_bound(histogram: np.ndarray, capacity: int) -> int:
-    """Bins that items need at least; ``histogram[s]`` items have size s.
+def _weights(histogram: np.ndarray, capacity: int) -> Iterator[tuple[int, int]]:
+    """Total weights of items, as (numerator, denominator) in bins; ``histogram[s]`` items have size s.
 
-    The largest of: the sum of sizes; for each threshold e up to half the capacity,
-    the sum with sizes over capacity - e rounded up to a whole bin and sizes under e
-    to nothing; and, for k up to 20, the sum with (k+1)s/capacity rounded down in
-    units of 1/k, multiples kept.  Each maps sizes so that no set that fits a bin
+    The sum of sizes; for each threshold e up to half the capacity, the sum with sizes
+    over capacity - e rounded up to a whole bin and sizes under e to nothing (the
+    largest of these); and, for k up to 20, the sum with (k+1)s/capacity rounded down
+    in units of 1/k, multiples kept.  Each maps sizes so that no set that fits a bin
     weighs over 1, which makes the rounded-up total a valid bound.
     """
     size = np.arange(capacity + 1)
     count = histogram[: capacity + 1].astype(np.int64)
-    best = -(-int((size * count).sum()) // capacity)
+    yield int((size * count).sum()), capacity
     number = np.cumsum(count)
     weight = np.cumsum(size * count)
     e = np.arange(1, capacity // 2 + 1)
-    large = number[-1] - number[capacity - e]
-    middle = weight[capacity - e] - weight[e - 1]
-    best = max(best, int((large + -(-middle // capacity)).max()))
+    yield int(((number[-1] - number[capacity - e]) * capacity + weight[capacity - e] - weight[e - 1]).max(initial=0)), capacity
     for k in range(1, 21):
         exact = ((k + 1) * size) % capacity == 0
         value = np.where(exact, size * k, (k + 1) * size // capacity * capacity)  # in units of 1 / (k * capacity)
-        best = max(best, -(-int((value * count).sum()) // (k * capacity)))
-    return best
+        yield int((value * count).sum()), k * capacity
+
+
+def lower_bound(histogram: np.ndarray, capacity: int) -> int:
+    """Bins that items need at least: the largest of their weights, rounded up."""
+    return max(-(-n // d) for n, d in _weights(histogram, capacity))
+
+
+def _closed(sizes: np.ndarray, where: np.ndarray, fill: np.ndarray, capacity: int, waste: float = WASTE) -> np.ndarray:
+    """Which bins stay as they are: the fullest, as long as they are at most ``waste`` of a bin more than their items weigh."""
+    order = np.argsort(-fill, kind="stable")
+    place = np.empty(len(fill), dtype=np.int64)
+    place[order] = np.arange(len(fill))
+    place = place[where]
+
+    def wasted(bins: int) -> float:
+        own = np.bincount(sizes[place < bins], minlength=capacity + 1)
+        return bins - max(n / d for n, d in _weights(own, capacity))
+
+    few, many = 0, len(fill) + 1
+    if wasted(len(fill)) <= waste:
+        few = len(fill)
+    while many - few > 1 and few < len(fill):
+        some = (few + many) // 2
+        if wasted(some) <= waste:
+            few = some
+        else:
+            many = some
+    out = np.zeros(len(fill), dtype=bool)
+    out[order[:few]] = True
+    return out
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,51 +269,58 @@ def _pack(turn: int, capacity: int, last: bool):
         rows = pd.concat(whole_part, ignore_index=True).sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         sizes = rows["length"].to_numpy()
         where, offset, fill = best_fit(sizes, capacity)
-        if last:
-            open_ = np.zeros(len(fill), dtype=bool)
-        elif len(fill) == lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity):
-            open_ = np.zeros(len(fill), dtype=bool)
-            open_[np.argmin(fill)] = fill.min() < capacity
-        else:
-            open_ = fill < capacity
+        closed = np.ones(len(fill), dtype=bool) if last else _closed(sizes, where, fill, capacity)
         task = TaskContext.get().partitionId()
-        rows["sequence_id"] = (turn << 58) + (task << 32) + where
+        rows["sequence_id"] = (turn << 56) + (task << 32) + where
         rows["offset"] = offset
-        rows["settled"] = ~open_[where]
+        rows["settled"] = closed[where]
         yield rows
 
     return run
 
 
-def packed(found: DataFrame, scratch: Scratch, capacity: int = CAPACITY, each: int = PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """``found`` (the rows of :func:`pieces`) with sequence_id and offset."""
+def _histogram(rows: DataFrame, capacity: int) -> np.ndarray:
+    out = np.zeros(capacity + 1, dtype=np.int64)
+    for row in rows.groupBy("length").count().collect():  # a row per length: at most ``capacity``
+        out[row["length"]] = row["count"]
+    return out
+
+
+def packed(found: DataFrame, scratch: Scratch, capacity: int = CAPACITY, each: int = PIECES) -> DataFrame:
+    """``found`` (the rows of :func:`pieces`) with sequence_id and offset.
+
+    Every turn deals what is open evenly (round robin) over partitions of about
+    ``each`` pieces, fewer than before, so that pieces of many partitions meet.
+    """
     names = [c.split()[0] for c in _PIECES.split(", ")]
-    histogram = np.zeros(capacity + 1, dtype=np.int64)
-    for row in found.groupBy("length").count().collect():  # a row per length: at most ``capacity``
-        histogram[row["length"]] = row["count"]
+    histogram = _histogram(found, capacity)
     needed = lower_bound(histogram, capacity)
     left, parts, settled = found, partitions_for(int(histogram.sum()), each), []
-    used = 0
-    for turn in range(rounds):
-        last = turn == rounds - 1 or (turn > 0 and parts == 1)
-        # Dealt by a hash of the piece and the turn, so each turn brings other pieces together.
+    used, turn, before = 0, 0, None
+    while True:
+        last = turn > 0 and parts == 1
         table = scratch.keep(left.select(names).repartition(parts).mapInPandas(_pack(turn, capacity, last), _PACKED), f"packed-{turn}")
         settled.append(table.filter("settled"))
-        count = table.agg(F.count_distinct("sequence_id"), F.count_distinct(F.when(F.col("settled"), F.col("sequence_id"))), F.count_if(~F.col("settled"))).first()
-        if last or not count[2]:
+        bins, closed, still = table.agg(F.count_distinct("sequence_id"), F.count_distinct(F.when(F.col("settled"), F.col("sequence_id"))), F.count_if(~F.col("settled"))).first()
+        if last or not still:
             break
-        if used + count[0] == needed:  # certified as a whole: open bins stay as they are
-            settled[-1] = table
+        fewer = max(1, min(parts // 2, partitions_for(still, each))) if still <= parts // 2 * each else partitions_for(still, each)
+        if used + bins == needed or (before and used + bins >= before[0] and fewer >= before[1]):
+            settled[-1] = table  # certified as a whole, or no exchange helps any more: open bins stay as they are
             break
-        used += count[1]
-        left = table.filter("not settled")
-        parts = min(max(1, parts // 2), partitions_for(count[2], each))
+        before, used = (used + bins, fewer), used + closed
+        left, parts, turn = table.filter("not settled"), fewer, turn + 1
     out = settled[0]
     for table in settled[1:]:
         out = out.unionByName(table)
     return out.drop("settled")
 
 
+def certificate(rows: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """(bins, bound): how many sequences packed ``rows`` take, and how many their lengths need at least."""
+    return rows.agg(F.count_distinct("sequence_id")).first()[0], lower_bound(_histogram(rows, capacity), capacity)
+
+
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
     """Documents packed into sequences of at most ``capacity`` tokens: a row per piece.
 

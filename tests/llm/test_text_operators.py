@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tessera.llm import bpe, bytesops, fingerprints, licenses, near_dedup, packing, quality, suffix_dedup
 from tessera.llm.entry import BYTE_BPE, WORD_BPE
 from tessera.llm.shared import Scratch
@@ -85,6 +86,13 @@ def test_near_duplicates(spark):
     assert rows_of(near_dedup.near_duplicates(cases.empty(spark))) == []
 
 
+def test_unequal_texts_under_one_id_link_no_strangers(spark):
+    own = {k: " ".join(f"{k}{n}" for n in range(80)) for k in "ab"}
+    docs = [(5, own["a"]), (5, own["b"]), (6, own["a"] + " x"), (7, own["b"] + " x"), (4, own["b"] + " y")]
+    got = sorted(rows_of(near_dedup.near_duplicates(cases.documents(spark, docs))))
+    assert got == [(4, 77, 4, True), (5, 76, 4, False), (5, 76, 5, True), (6, 77, 5, False), (7, 77, 4, False)]
+
+
 def chain(n, words=60):
     """Documents of which neighbours are alike and far ones are not."""
     base = [f"t{k}" for k in range(words)]
@@ -110,7 +118,7 @@ def test_second_pass_finds_links_that_no_hub_shows(spark, cell):
     long = "k l m n o " * 3 + " ".join(f"u{k}" for k in range(60))
     docs = [(1, "p q r s t u v w x y z"), *((k, long + f" x{k}") for k in range(2, 14)), *((k, f"a{k} b{k} c{k} d{k} e{k} f{k}") for k in range(20, 26))]
     table = near_dedup.sketched(cases.documents(spark, docs))
-    nodes = table.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sketch")
+    nodes = table.select(F.col("doc_id").alias("node"), F.struct("doc_id", "h").alias("doc"), F.col("n_shingles").alias("n"), "bands", "sketch")
     labels = {k: 2 if 2 <= k < 9 else k for k, _ in docs}  # the first pass joined some
     rest = spark.createDataFrame([(9, 0, k, labels[k]) for k, _ in docs if k > 1], "band long, place int, node long, label long")
     merged = near_dedup._second_pass(rest, nodes, cases.documents(spark, docs), 75, Scratch(spark), cell)
@@ -169,10 +177,22 @@ def removed(docs, depth):
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 0])
-def test_repeated_windows(spark, hot):
+@pytest.mark.parametrize(("hot", "split"), [(suffix_dedup.HOT, suffix_dedup.SPLIT), (0, 0), (suffix_dedup.HOT, 0)])
+def test_repeated_windows(spark, hot, split):
     docs = cases.documents(spark)
-    assert Counter(rows_of(suffix_dedup.repeated_report(docs, hot=hot))) == removed(texts_of(docs), 200)
+    assert Counter(rows_of(suffix_dedup.repeated_report(docs, hot=hot, split=split))) == removed(texts_of(docs), 200)
+
+
+@given(st.lists(st.binary(min_size=20, max_size=40), min_size=1, max_size=12), st.sampled_from([1, 5, 8, 16, 20]))
+@settings(max_examples=200, deadline=None)
+def test_radix_sort_leaves_equal_windows_in_order(raw, depth):
+    raw = [bytes(b % 3 for b in r) for r in raw]
+    data, which, place, starts = suffix_dedup._windows(raw, depth)
+    group = which // 3
+    alive = suffix_dedup._radix(data, starts, group, depth)
+    keys = [(g, bytes(data[s : s + depth])) for g, s in zip(group.tolist(), starts.tolist(), strict=True)]
+    count = Counter(keys)
+    assert [keys[k] for k in alive] == sorted(k for k in keys if count[k] > 1)
 
 
 def test_repeated_windows_of_the_small_table(spark):
@@ -206,6 +226,17 @@ def test_texts_without_repeats(spark):
     assert got[9]["n_chars"] == len(got[9]["text"])
 
 
+def test_columns_of_clashing_names_stay(spark):
+    names = ["_text", "_spans", "_h", "_span_id", "_SPAN_H"]
+    docs = cases.documents(spark)
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    out = suffix_dedup.without_repeats(docs)
+    assert out.columns == docs.columns and {tuple(r) for r in out.select(names).collect()} == {tuple(range(5))}
+    kept = dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, docs.withColumn("_key", F.lit(7)).withColumn("_gone", F.lit(8)), "")
+    assert {tuple(r) for r in kept.select("_key", "_gone").collect()} == {(7, 8)}
+
+
 def PASSAGE_GONE(text):
     return "passage30" not in text
 
@@ -215,7 +246,6 @@ def PASSAGE_GONE(text):
 
 def test_pieces_are_the_tokenizers(spark):
     own = Tokenizer.from_file(WORD_BPE)
-    own.encode_special_tokens = True
     for docs in both(spark):
         want = Counter()
         for doc_id, text in texts_of(docs):
@@ -227,29 +257,47 @@ def test_pieces_are_the_tokenizers(spark):
 
 
 def test_words_are_the_tokenizers():
-    """Every word of the middle table, and odd ones, one by one; caches that overflow change nothing."""
+    """Every fourth text of the middle table, and odd ones."""
     import duckdb
 
     own = Tokenizer.from_file(WORD_BPE)
-    own.encode_special_tokens = True
-    ids = packing.ChunkIds(WORD_BPE)
+    ids = packing.TokenIds(WORD_BPE)
     assert ids.merges
     texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{cases.DATA}/sf0.01/documents.parquet'").fetchall()][::4]
-    odd = ["İI ŉ ǅ Σς ΑΣ é é ß ﬁ ²½ a1b2 don't 'RE x's <|endoftext|> <|endoftext|>. ͅ 日本 \u00a0x\u2028y\x1cz ..  .a a. .", "ǅǆ K Å ſs"]
-    for most in (300_000, 50):
-        ids._MOST = most
-        for text in texts[: 400 if most > 50 else 40] + odd:
-            assert np.frombuffer(ids.encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+    odd = ["İI ŉ ǅ Σς ΑΣ é é ß ﬁ ²½ a1b2 don't 'RE x's <|endoftext|> <|endoftext|>. ͅ 日本 \u00a0x\u2028y\x1cz ..  .a a. .", "ǅǆ K Å ſs Ⱥ_b __ ÷× \0 \x7f\x85 a\tb", "", "\n", "\0", "a_1'll 've'd"]
+    together = ids.encode_all(texts + odd)
+    for text, got in zip(texts + odd, together, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def test_every_ordinary_character_is_the_tokenizers():
+    ids = packing.TokenIds(WORD_BPE)
+    for n in range(0x250):
+        text = f"a{chr(n)}B {chr(n)}{chr(n)} {chr(n)}1'{chr(n)} '{chr(n)}e"
+        assert np.frombuffer(ids.encode(text), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids, n
 
 
 @given(st.text(st.sampled_from("aZéßİſσΣ'.,!-1 \n\u0301\u0345日"), max_size=30))
 @settings(max_examples=300, deadline=None)
 def test_odd_runs_are_the_tokenizers(text):
-    own = packing._KNOWN.setdefault(WORD_BPE, None) or packing.ChunkIds(WORD_BPE)
+    own = packing._KNOWN.setdefault(WORD_BPE, None) or packing.TokenIds(WORD_BPE)
     packing._KNOWN[WORD_BPE] = own
     assert np.frombuffer(own.encode(text), "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_in_a_text_are_tokens(spark):
+    text = "a <|endoftext|> b<|startoftext|>."
+    want = Tokenizer.from_file(WORD_BPE).encode(text, add_special_tokens=False).ids
+    assert 49407 in want
+    assert np.frombuffer(packing.TokenIds(WORD_BPE).encode(text), "<u4").tolist() == want
+
+
+def test_long_texts_are_encoded_in_parts():
+    ids, text = packing.TokenIds(WORD_BPE), cases.LONG * 2 + "\n" + "é" * 70_000 + " end."
+    assert b"".join(map(ids.encode, packing._runs_of(text, 1000))) == ids.encode(text)
+    assert len(list(packing._runs_of(text, 1000))) > 300
+
+
 def check_packing(rows, capacity):
     by = defaultdict(list)
     for r in rows:
@@ -278,6 +326,14 @@ def test_packing_over_many_partitions_exchanges_pieces(spark):
     assert len(rows) == len(sizes) and {r["doc_id"] for r in rows} == set(range(len(sizes)))
     bins, bound = check_packing(rows, 2048), packing.lower_bound(np.bincount(sizes, minlength=2049), 2048)
     assert bins <= bound + 1
+    assert packing.certificate(spark.createDataFrame(rows)) == (bins, bound)
+
+
+def test_an_exchange_that_saves_nothing_ends_packing(spark):
+    """Pieces of 700: the bound is by thirds, two to a bin, never certified by more exchanges than there are partitions."""
+    found = spark.createDataFrame([(i, 0, 0, 700, 0) for i in range(1000)], packing._PIECES)
+    rows = packing.packed(found, Scratch(spark), each=10).collect()
+    assert len(rows) == 1000 and check_packing(rows, 2048) == 500
 
 
 @given(st.lists(st.integers(1, 10), max_size=7))
