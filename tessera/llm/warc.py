@@ -1,9 +1,9 @@
 """ARC to WARC: legacy archives are parsed by their version and declared lengths, and WARC records synthesised from them.
 
 ``write_arc`` puts pages into ARC files (version 1 and 2 by turns), ``read_arc``
-parses them, ``write_warc`` writes the equivalent WARC 1.1 records with identifiers,
-timestamps, types and digests made from the legacy fields, and ``read_warc`` parses
-those.  Files are written by Spark's text writer and read by its binary reader, so
+parses them, ``convert_archives`` writes the equivalent WARC 1.1 records with
+identifiers, timestamps, types and digests made from the legacy fields, and
+``read_warc`` parses those.  Files are written by Spark's text writer and read by its binary reader, so
 any file system that Spark knows will do; each holds one archive of bounded size.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Scratch
+from tessera.llm.shared import Scratch, release, small
 
 #: Payload bytes from which an equal payload is a revisit.
 LEAST = 100
@@ -112,8 +112,11 @@ def split_http(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if x)}, head, block[end + 4 :]
 
 
-def _archives(make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str, str]]], limit: int):
-    """Rows of whole archives: (header, record) texts gathered up to ``limit`` characters, the last terminator left to the writer."""
+def _archives(make: Callable[[Iterator[pa.RecordBatch]], Iterator[str]], limit: int, ending: str):
+    """Rows of whole archives: record texts gathered up to ``limit`` characters, the last ``ending`` left to the writer."""
+
+    def row(held: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(["".join(held).removesuffix(ending)], pa.string())], names=["value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -121,17 +124,18 @@ def _archives(make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str, str
             held.append(text)
             size += len(text)
             if size >= limit:
-                yield pa.RecordBatch.from_arrays([pa.array(["".join(held)], pa.string())], names=["value"])
+                yield row(held)
                 held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(["".join(held)], pa.string())], names=["value"])
+            yield row(held)
+        release()
 
     return run
 
 
 def _write(rows: DataFrame, path: str, ending: str) -> None:
-    """An archive a file.  Rows end with ``ending``, which the writer adds itself."""
-    rows.selectExpr(f"substring(value, 1, length(value) - {len(ending)}) as value").write.option("lineSep", ending).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    """An archive a file, gzipped whole: Spark's writers take text, not the bytes of single members.  The writer adds ``ending``."""
+    rows.write.option("lineSep", ending).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(path)
 
 
 def _unzipped(content: bytes) -> bytes:
@@ -162,22 +166,28 @@ def write_arc(pages: DataFrame, path: str, limit: int = ARCHIVE) -> None:
                 size += len(text)
                 yield text
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_archives(make, limit), "value string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_archives(make, limit, "\n"), "value string")
     _write(rows, path, "\n")
 
 
 _ARC_ROWS = "page_id long, url string, stamp string, http string, payload binary, payload_bytes long, digest string"
+_ARC_INDEX = "path string, place long, page_id long, payload_bytes long, digest string"
+
+
+def _records(content: bytes) -> Iterator[tuple[int | None, str | None, str, bytes, bytes, str]]:
+    """page_id, url, stamp, HTTP header, payload and digest (SHA-256, hex) of each record of an ARC file."""
+    for fields, block in parse_arc(_unzipped(content)):
+        http, head, payload = split_http(block)
+        page, url = http.get("x-page-id"), fields["URL"]
+        yield int(page) if page else None, None if url == "-" else url, fields["Archive-date"], head, payload, hashlib.sha256(payload).hexdigest()
 
 
 def _arc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             out, size = [], 0
-            for fields, block in parse_arc(_unzipped(content.as_py())):
-                http, head, payload = split_http(block)
-                page = http.get("x-page-id")
-                url = fields["URL"]
-                out.append((int(page) if page else None, None if url == "-" else url, fields["Archive-date"], head.decode("latin-1"), payload, len(payload), hashlib.sha256(payload).hexdigest()))
+            for page, url, stamp, head, payload, digest in _records(content.as_py()):
+                out.append((page, url, stamp, head.decode("latin-1"), payload, len(payload), digest))
                 size += len(payload)
                 if size > 4 << 20:
                     yield _batch(out, _ARC_ROWS)
@@ -185,15 +195,31 @@ def _arc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(out, _ARC_ROWS)
 
 
+def _arc_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            yield _batch([(path, k, page, len(payload), digest) for k, (page, _, _, _, payload, digest) in enumerate(_records(content.as_py()))], _ARC_INDEX)
+    release()
+
+
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     columns = [c.split() for c in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(columns)], names=[c for c, _ in columns])
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, stamp, http (header), payload, payload_bytes and digest (SHA-256, hex) of each record of the ARC files in ``path``."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_arc_rows, _ARC_ROWS)
+    return _files(spark, path).select("content").mapInArrow(_arc_rows, _ARC_ROWS)
+
+
+def arc_index(spark: SparkSession, path: str) -> DataFrame:
+    """path, place (number in the file), page_id, payload_bytes and digest of each record of the ARC files in ``path``."""
+    return _files(spark, path).mapInArrow(_arc_index, _ARC_INDEX)
 
 
 # -- WARC ----------------------------------------------------------------------
@@ -239,23 +265,38 @@ def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-def with_revisits(records: DataFrame, least: int = LEAST) -> DataFrame:
-    """``records`` (of :func:`read_arc`) with refers_to: the smallest page_id among equal payloads of ``least`` bytes or more, null for that one itself."""
-    small_rows = records.filter(F.col("payload_bytes") >= least).select("page_id", "digest", "payload_bytes")
-    first = small_rows.groupBy("digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "payload_bytes", "first")
-    return records.join(first, ["digest", "payload_bytes"], "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
+def revisits(index: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
+    """path, place and refers_to of each record of ``index`` (of :func:`arc_index`) that repeats a payload of ``least`` bytes or more.
 
+    refers_to is the smallest page_id among equal payloads, whose own record is none.
+    Digests are counted before they are moved, and the counts written before the join,
+    so that rows of a very common payload can be split.
+    """
+    long = index.filter(F.col("payload_bytes") >= least)
+    first = long.groupBy("digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1 and first is not null")
+    first = scratch.keep(first.select("digest", "payload_bytes", "first"), "first")
+    found = long.join(small(first, 96), ["digest", "payload_bytes"]).filter(~F.col("page_id").eqNullSafe(F.col("first")))
+    return found.select("path", "place", F.col("first").alias("refers_to"))
 
-def write_warc(records: DataFrame, path: str, limit: int = ARCHIVE) -> None:
-    """``records`` (of :func:`with_revisits`) as gzipped WARC files in ``path``."""
-    columns = ("page_id", "url", "stamp", "http", "payload", "digest", "refers_to")
+
+def convert_archives(spark: SparkSession, arcs: str, path: str, scratch: Scratch, limit: int = ARCHIVE, least: int = LEAST) -> None:
+    """The ARC files in ``arcs`` as gzipped WARC files in ``path``.
+
+    Payloads are not dealt out: each file is read again beside the list of its own
+    revisits, so what meets in a join is one row a file.
+    """
+    index = scratch.keep(arc_index(spark, arcs), "index")
+    by_file = scratch.keep(revisits(index, scratch, least).groupBy("path").agg(F.collect_list("place").alias("places"), F.collect_list("refers_to").alias("refers")), "by-file")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
         for batch in batches:
-            for page_id, url, stamp, http, payload, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                yield warc_record(page_id, url, stamp, http, payload.decode(), digest, refers_to)
+            for content, places, refers in zip(batch.column("content"), batch.column("places").to_pylist(), batch.column("refers").to_pylist(), strict=True):
+                of = dict(zip(places or [], refers or [], strict=True))
+                for k, (page, url, stamp, head, payload, digest) in enumerate(_records(content.as_py())):
+                    yield warc_record(page, url, stamp, head.decode("latin-1"), payload.decode(), digest, of.get(k))
 
-    _write(records.select(*columns).mapInArrow(_archives(make, limit), "value string"), path, _END)
+    rows = _files(spark, arcs).join(by_file, "path", "left").select("content", "places", "refers")
+    _write(rows.mapInArrow(_archives(make, limit, _END), "value string"), path, _END)
 
 
 _WARC_ROWS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -277,6 +318,7 @@ def _warc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         raise ValueError(f"payload of {fields['warc-record-id']} does not match its digest")
                     out.append((page, fields.get("warc-target-uri"), len(payload), digest, "response", None))
             yield _batch(out, _WARC_ROWS)
+    release()
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -295,7 +337,7 @@ def convert_pages(pages: DataFrame, limit: int = ARCHIVE, least: int = LEAST) ->
     spark = pages.sparkSession
     scratch = Scratch(spark)
     write_arc(pages, scratch.path("arc"), limit)
-    write_warc(with_revisits(read_arc(spark, scratch.path("arc")), least), scratch.path("warc"), limit)
+    convert_archives(spark, scratch.path("arc"), scratch.path("warc"), scratch, limit, least)
     scratch.drop("arc")
     scratch.tidy()
     return read_warc(spark, scratch.path("warc"))

@@ -74,6 +74,12 @@ def test_warc_odd_pages(spark):
     assert warc.convert_pages(pages.limit(0)).collect() == []
 
 
+def test_pages_larger_than_an_archive(spark):
+    rows = [(k, f"http://{k}", "é" * n) for k, n in enumerate([40_000, 3, 40_000, 90_000, 0])]
+    got = warc.convert_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), limit=1000).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == [(0, 80_000, "response", None), (1, 6, "response", None), (2, 80_000, "revisit", 0), (3, 180_000, "response", None), (4, 0, "response", None)]
+
+
 def test_arc_versions_and_framing():
     raw = (warc.arc_file_header(1, "a") + warc.arc_record(1, "a", 0, 4, "http://x y", "é1\n\n") + warc.arc_file_header(2, "b") + warc.arc_record(2, "b", 0, None, None, "")).encode()
     (one, block), (two, empty) = warc.parse_arc(raw)
