@@ -1,6 +1,8 @@
 """Byte-level BPE as a monoid: halves are encoded apart and joined at their border.
 
-An encoded text is the list of its pattern matches ("pieces"), each with its ids.
+An encoded text is the list of its pattern matches ("pieces") and the list of its ids;
+a text of at most ``leaf`` characters is encoded at once, any longer one by halves.
+No id spans two pieces, so a border between pieces is one between ids.
 The join of two neighbours re-encodes a window around their border only:
 
 * Left of it, a piece that ends three characters or more before the border stands:
@@ -17,8 +19,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from bisect import bisect_left
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -26,54 +28,67 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import whole
+from tessera.llm.shared import release, whole
 
-#: Characters that are encoded in one go at the leaves of the tree.
-LEAF = 1 << 14
+#: Characters at the leaves of the tree: a sentence or so, so that nearly every text has joins.
+LEAF = 1 << 8
 #: Characters right of a border in the first window.
-WINDOW = 64
+WINDOW = 16
 #: No alternative of the pattern needs more characters behind its match to be sure of it.
 LOOK = 3
 
 
+#: Pieces and ids.
+Encoded = tuple[list[str], list[int]]
+
+
 class Codec:
     """Encoder and decoder for ranks and a pattern; ``leaf`` and ``window`` only change the work, never the result."""
 
-    _MOST = 200_000
-
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, window: int = WINDOW):
         self.leaf, self.window = max(leaf, 4), max(window, 1)
         self.pattern = regex.compile(pattern)
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, text: str) -> tuple[int, ...]:
-        ids = self.known.get(text)
-        if ids is None:
-            if len(self.known) > self._MOST:
-                self.known.clear()
-            ids = tuple(self.encoding.encode_ordinary(text))
-            if len(text) < 64:
-                self.known[text] = ids
-        return ids
-
-    def pieces(self, text: str) -> list[str]:
-        """Pattern matches of ``text``, by halves."""
+        self.width = {v: len(k) for k, v in ranks.items()}
+
+    def encoded(self, text: str) -> Encoded:
+        """Pieces and ids of ``text``, by halves."""
         if len(text) <= self.leaf:
-            return self.pattern.findall(text)
+            return self.pattern.findall(text), self.encoding.encode_ordinary(text)
         half = len(text) // 2
-        return self.join(self.pieces(text[:half]), self.pieces(text[half:]))
-
-    def join(self, left: list[str], right: list[str]) -> list[str]:
-        """The pieces of the joined text; ``left`` and ``right`` are lists that this may change."""
+        return self.join(self.encoded(text[:half]), self.encoded(text[half:]))
+
+    def cover(self, ids: Iterable[int], n: int) -> int:
+        """How many of ``ids`` make up the first ``n`` bytes."""
+        taken = 0
+        ids = iter(ids)
+        while n > 0:
+            n -= self.width[next(ids)]
+            taken += 1
+        return taken
+
+    def join(self, one: Encoded, two: Encoded) -> Encoded:
+        """The encoded text of both; the lists of ``one`` are changed."""
+        (left, ids), (right, more) = one, two
         if not left or not right:
-            return left or right
+            return one if left else two
         tail, far = [], 0
         while left and (far < LOOK or not tail):  # pieces that end within LOOK of the border, at least one
             tail.append(left.pop())
             far += len(tail[-1])
         tail = "".join(reversed(tail))
+        del ids[len(ids) - self.cover(reversed(ids), len(tail.encode())) :]
+        anew, k = self.meet(tail, right)
+        left += anew
+        left += islice(right, k, None)
+        for piece in anew:
+            ids += self.encoding.encode_ordinary(piece)
+        ids += islice(more, self.cover(more, len("".join(right[:k]).encode())), None)
+        return left, ids
+
+    def meet(self, tail: str, right: list[str]) -> tuple[list[str], int]:
+        """The pieces of ``tail`` and the text behind it up to where a match ends on a border of ``right``, and how many pieces of that they replace."""
         size = self.window
         borders: list[int] = []
         upto = taken = 0
@@ -82,26 +97,23 @@ class Codec:
                 borders.append(upto)
                 upto += len(right[taken])
                 taken += 1
-            head = "".join(right[:taken])
             anew, at = [], -len(tail)
-            for match in self.pattern.finditer(tail + head):
+            for match in self.pattern.finditer(tail + "".join(right[:taken])):
                 anew.append(match.group())
                 at += len(anew[-1])
                 if at > upto - LOOK and taken < len(right):
                     break  # the window's end may have shaped this match
                 if at >= 0:
                     k = bisect_left(borders, at)
-                    if k < len(borders) and borders[k] == at:
-                        return left + anew + right[k:]
+                    if k < len(borders) and borders[k] == at:  # from here on both agree
+                        return anew, k
             if taken == len(right):
-                return left + anew
+                return anew, taken
             size *= 2
 
     def encode(self, text: str) -> list[int]:
-        """Ids of ``text``.  A text of one leaf has no border and is encoded in one go."""
-        if len(text) <= self.leaf:
-            return self.encoding.encode_ordinary(text)
-        return list(chain.from_iterable(map(self.piece, self.pieces(text))))
+        """Ids of ``text``."""
+        return self.encoded(text)[1]
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of ``ids``, by halves."""
@@ -171,6 +183,7 @@ def _digest(rank_file: str, pattern: str, leaf: int):
                 [batch.column("doc_id")] + [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        release()
 
     return run
 
