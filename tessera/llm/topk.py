@@ -5,32 +5,39 @@ Query rows are sparse (component, weight) lists.  For a block of candidates, eac
 query scatters its weights' multiples of the postings into a dense score array, term
 by term; the k best of the array are selected, and the blocks' selections merged.
 
-Queries and candidates are dealt into blocks of bounded size, and every query block
+Queries and candidates are dealt into blocks of bounded bytes, and every query block
 meets every candidate block in a task of its own: the stated query set against all
-rows, with no limit on either.
+rows, with no limit on either.  A side travels once for each block of the other, so
+blocks are as large as a task's memory lets them be.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import partitions_for
 
-QUERY_BLOCK = 1024
-CANDIDATE_BLOCK = 4096
+#: Bytes of a block's vectors, 8 a component; and rows that a block has at least, where smaller ones would keep more cores busy.
+BLOCK = 8 << 20
+LEAST_ROWS = 1024
 _FIT = float(1 << 62)
 
 
+def _floor(x: Column) -> Column:
+    """floor(x) as a double: one of 2**53 or more is an integer already, and may not fit Spark's."""
+    return F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
+
+
 def usable(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
     """vec_id and the vector's integers floor(scale * x); vectors that are null, or hold null or non-finite components, are left out."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     return (
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter(F.col("x").isNotNull() & F.col("vec_id").isNotNull()).filter(fine)
-        .select("vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("double")).alias("x"))
+        .select("vec_id", F.transform("x", lambda v: _floor(v * scale)).alias("x"))
     )
 
 
@@ -62,17 +69,11 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     for term in range(candidates.shape[1]):
         weights = np.ascontiguousarray(candidates[:, term], dtype=kind)
         at = np.flatnonzero(weights)
-        # A list that names most of the block is kept at full width: adding zeros is cheaper than scattering.
-        postings.append((None, weights) if 4 * len(at) > len(weights) else (at, weights[at]))
-    scaled = np.empty(len(candidates), dtype=kind)
+        postings.append((at, weights[at]))
     for row, query in zip(scores, queries.astype(kind), strict=True):
         for term in np.flatnonzero(query).tolist():
             at, weights = postings[term]
-            if at is None:
-                np.multiply(weights, query[term], out=scaled)
-                row += scaled
-            else:
-                row[at] += weights * query[term]
+            row[at] += weights * query[term]
     return scores
 
 
@@ -96,8 +97,9 @@ def _cell(k: int):
             candidates = candidates.sort_values("vec_id", kind="stable")
             width = max(int(candidates["x"].map(len).max()), int(queries["x"].map(len).max()))
             ids, table = candidates["vec_id"].to_numpy(), _matrix(candidates["x"], width)
-            for at in range(0, len(queries), 64):
-                some = queries.iloc[at : at + 64]
+            step = max(1, (4 << 20) // len(ids))  # score arrays at once
+            for at in range(0, len(queries), step):
+                some = queries.iloc[at : at + step]
                 for own, scores in zip(some["vec_id"].tolist(), accumulate(_matrix(some["x"], width), table), strict=True):
                     found, value = best(scores, ids, own, k)
                     out.append(pd.DataFrame({"query_id": np.full(len(found), own), "vec_id": found, "score": value.astype(np.int64)}))
@@ -106,7 +108,13 @@ def _cell(k: int):
     return run
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+def _blocks(rows: DataFrame, block: int) -> tuple[int, int]:
+    """Number of rows, and of blocks of ``block`` bytes that they fill."""
+    n, width = rows.agg(F.count("*"), F.max(F.size("x"))).first()
+    return n, partitions_for(n * 8 * max(1, width or 1), block)
+
+
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score: each query's k highest integer inner products among all candidates but its own vec_id.
 
     Both sides are rows of :func:`usable`.  Ties go to the smaller vec_id.  Vectors of
@@ -115,7 +123,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: i
     queries give the best of their common list.  Empty sides give no rows.  Scores
     beyond 64 bits are clipped.
     """
-    n_q, n_c = partitions_for(queries.count(), query_block), partitions_for(candidates.count(), candidate_block)
+    _, n_q = _blocks(queries, block)
+    rows, n_c = _blocks(candidates, block)
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    n_c = max(n_c, min(partitions_for(cores, n_q), partitions_for(rows, LEAST_ROWS)))
     # Blocks are numbers dealt by a hash of the id; each side is repeated once for every block of the other.
     left = queries.distinct().select("vec_id", "x", F.pmod(F.xxhash64("vec_id"), F.lit(n_q)).alias("q")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c"))
     right = candidates.distinct().select("vec_id", "x", F.pmod(F.xxhash64("vec_id"), F.lit(n_c)).cast("int").alias("c")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"))

@@ -34,14 +34,20 @@ def test_topk_odd_vectors(spark):
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, label int, score string")
     usable = topk.usable(df)
     small_rows = [r for r in rows if r[0] != 320]
-    for blocks in ((1024, 4096), (2, 7)):
-        got = topk.top_k(usable.filter("vec_id % 20 = 0 and vec_id <> 320"), usable.filter("vec_id <> 320"), 7, *blocks).collect()
+    for block in (topk.BLOCK, 200):
+        got = topk.top_k(usable.filter("vec_id % 20 = 0 and vec_id <> 320"), usable.filter("vec_id <> 320"), 7, block).collect()
         assert {tuple(r) for r in got} == brute_topk(small_rows, 7, lambda i: i % 20 == 0) and len(got) == len(set(got))
     huge = topk.top_k(usable.filter("vec_id = 320"), usable, 3).collect()
     assert len(huge) == 3 and all(abs(r["score"]) <= 2**63 - 1 for r in huge)
     assert topk.top_k(usable.limit(0), usable, 3).collect() == []
 
 
+def test_floors_beyond_64_bits(spark):
+    xs = [1e19, -1e19, 2.0**53, 0.999, -1e-9, 2.0**57 + 2**10]
+    got = topk.usable(spark.createDataFrame([(1, xs)], "vec_id long, embedding array<double>")).first()["x"]
+    assert [int(x) for x in got] == [math.floor(64 * x) for x in xs]
+
+
 def test_topk_query(spark):
     got = entry.op2_exact_topk(spark, f"{cases.DATA}/sf0.001").toPandas()
     want = cases.oracle(entry.oracle_sql()["op2_exact_topk"], embeddings=spark.read.parquet(f"{cases.DATA}/sf0.001/embeddings.parquet").toPandas())
