@@ -255,7 +255,7 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, anchor: int = ANCHOR, hot: int = HOT, split: int = SPLIT) -> DataFrame:
-    """doc_id, h (hash of the text) and spans (array of (lo, hi) bytes, not merged) of each text with a window of ``depth`` bytes that also starts anywhere else.
+    """doc_id, h (hash of the text) and spans (array of lo << 32 | hi, not merged) of each text with a window of ``depth`` bytes that also starts anywhere else.
 
     Counts behind a join are written first: else the join keeps their partitioning, and
     all rows of a hot anchor in one task.
@@ -270,9 +270,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, anchor
     scratch.drop("runs")
 
     # Equal stretches; the first of them stands for the rest.
+    # Windows of the others are repeated: what a text has of `left` and not of the unique stretches (told below, by text).
     kinds = scratch.keep(left.groupBy("a", "s").agg(F.count("*").alias("many"), F.min(F.struct("doc_id", "h", "lo", "n", "at")).alias("r")), "kinds")
-    same = left.join(kinds.filter("many > 1").select("a", "s"), ["a", "s"], "left_semi").select(*_KEY, F.col("lo").cast("long").alias("lo"), (F.col("lo") + F.col("n") + (depth - 1)).cast("long").alias("hi"))
-
     # Anchors with unequal stretches of which one at least has no equal are sorted.
     open_ = scratch.keep(kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.min("many").alias("least")).filter("kinds > 1 and least = 1"), "open")
     wanted = kinds.join(open_.select("a", "kinds"), "a").select("a", F.least("many", F.lit(2)).cast("int").alias("many"), "kinds", (F.col("kinds") > hot).alias("hot"), "r.*")
@@ -285,8 +284,12 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, anchor
     single = raw.filter("hot").select("a", "many", *_KEY, "lo", "raw").mapInArrow(_fingerprints(depth), "a long, many int, doc_id long, h long, lo long, w binary")
     again = scratch.keep(single.groupBy("a", "w").agg(F.count("*").alias("c")).filter("c > 1").select("a", "w"), "again")
     hot_ones = single.filter("many = 1").join(again, ["a", "w"], "left_semi").select(*_KEY, "lo", (F.col("lo") + depth).alias("hi"))
-    spans = same.unionByName(cold).unionByName(hot_ones)
-    out = scratch.keep(spans.groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    stretch = [*_KEY, F.col("lo").cast("long").alias("lo"), (F.col("lo") + F.col("n") + (depth - 1)).cast("long").alias("hi")]
+    spans = left.select(*stretch, F.lit(0).alias("kind")).unionByName(kinds.filter("many = 1").select("r.*").select(*stretch, F.lit(1).alias("kind"))).unionByName(cold.unionByName(hot_ones).withColumn("kind", F.lit(2)))
+    code = F.shiftleft("lo", 32).bitwiseOR(F.col("hi"))
+    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, code))
+    per_text = spans.groupBy(*_KEY).agg(of(0).alias("all"), of(1).alias("alone"), of(2).alias("sorted")).select(*_KEY, F.concat(F.array_except("all", "alone"), "sorted").alias("spans"))
+    out = scratch.keep(per_text.filter(F.size("spans") > 0), "spans")
     for name in ("twice", "left", "kinds", "open", "stretches", "again"):
         scratch.drop(name)
     return out
@@ -301,10 +304,11 @@ def _with_spans(docs: DataFrame, depth: int, anchor: int, hot: int, split: int)
     return texts.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(hashed) == F.col(of_h)), "left").drop(of, of_h, hashed), text, spans
 
 
-def _cut(raw: bytes, spans) -> tuple[bytes, int, int]:
-    runs = merged(np.array([(x["lo"], x["hi"]) for x in spans], dtype=np.int64)) if spans else np.zeros((0, 2), dtype=np.int64)
-    if not len(runs):
+def _cut(raw: bytes, spans: list[int] | None) -> tuple[bytes, int, int]:
+    if not spans:
         return raw, 0, 0
+    codes = np.array(spans, dtype=np.int64)
+    runs = merged(np.stack([codes >> 32, codes & 0xFFFFFFFF], axis=1))
     kept, at = [], 0
     for lo, hi in runs.tolist():
         kept.append(raw[at:lo])
