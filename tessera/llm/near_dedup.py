@@ -35,7 +35,7 @@ BITS = 1024
 #: Estimated similarity may lie this much under the least one: so much that sketches lose fewer pairs than bands do.
 MARGIN = 0.18
 #: Members that meet one hub in one run of sorted rows.
-FAN = 512
+FAN = 128
 #: Members of a block; two blocks of a bucket meet in one task.
 CELL = 256
 #: Links that one task joins in memory at most (about 100 MB); more are joined by distributed passes.
@@ -115,9 +115,9 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def distinct_sets(table: DataFrame) -> DataFrame:
-    """A row for each set of :func:`sketched`: node (its number), the smallest document that has it (doc, h), n, bands and sketch."""
-    own = table.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    return own.select("s1", "s2", F.xxhash64("s1", "s2").alias("node"), F.col("r.doc_id").alias("doc"), F.col("r.h").alias("h"), "n", "bands", "sketch")
+    """A row for each set of :func:`sketched`: node (its number), doc (the smallest doc_id and h that have it), n, bands and sketch."""
+    own = table.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "h")).alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    return own.select("s1", "s2", F.xxhash64("s1", "s2").alias("node"), "doc", "n", "bands", "sketch")
 
 
 def most_differing(similarity: float) -> int:
@@ -158,26 +158,21 @@ def _confirm(least: int):
     return run
 
 
-def _texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``wanted`` (node and more) with the text of each node."""
-    own = wanted.join(nodes.select("node", F.col("doc").alias("doc_id"), "h"), "node")
-    return _texts(docs).join(small(own, 64), ["doc_id", "h"]).drop("doc_id", "h", "node")
-
-
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: int, scratch: Scratch, name: str) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, least: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (hub, member) whose full sets have a similarity of ``least`` hundredths or more.
 
-    Texts, not pairs of texts, travel: each member's once a pair, each hub's once for
-    every FAN members, so a hub of any number of members is dealt over many tasks.
+    ``pairs`` also names the documents to compare, as structs of doc_id and h: of and
+    with.  Texts, not pairs of texts, travel: each member's once a pair, each hub's once
+    for every FAN members, so a hub of any number of members is dealt over many tasks.
     Counts behind a join are written first: else the join keeps their partitioning,
     and all members of a hub in one task.
     """
-    pairs = scratch.keep(pairs, f"{name}-near")
+    pairs = scratch.keep(pairs.select("hub", "member", "of", "with"), f"{name}-near")
     fan = scratch.keep(pairs.groupBy("hub").agg(F.ceil(F.count("*") / FAN).alias("fan")), f"{name}-fan")
     pairs = scratch.keep(pairs.join(small(fan, 16), "hub").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("fan"))).drop("fan"), f"{name}-pairs")
-    wanted = pairs.select("hub", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("member"), F.col("hub").alias("node")).distinct().unionByName(
-        pairs.select("hub", "salt", F.lit(1).alias("kind"), "member", F.col("member").alias("node")))
-    rows = _texts_of(scratch.keep(wanted, f"{name}-wanted"), nodes, docs).select("hub", "salt", "kind", "member", "text")
+    wanted = pairs.select("hub", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("member"), "of.*").distinct().unionByName(
+        pairs.select("hub", "salt", F.lit(1).alias("kind"), "member", "with.*"))
+    rows = _texts(docs).join(small(wanted, 64), ["doc_id", "h"]).select("hub", "salt", "kind", "member", "text")
     dealt = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind", "member")
     return scratch.keep(dealt.mapInArrow(_confirm(least), "hub long, member long").distinct(), f"{name}-links")
 
@@ -253,15 +248,14 @@ def near_duplicates(docs: DataFrame, least: int = 75) -> DataFrame:
     hubs = scratch.keep(members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1"), "hubs")
     shared = scratch.keep(members.join(hubs, "band").select("band", "place", "node", "hub", "size"), "shared")
 
-    sketch = nodes.select("node", F.struct("n", "sketch").alias("sketch"))
+    sketch = nodes.select("node", "doc", F.struct("n", "sketch").alias("sketch"))
     near = scratch.keep(shared.filter("node <> hub").select("hub", F.col("node").alias("member")).distinct(), "near")
     near = (
-        near.join(sketch.select(F.col("node").alias("member"), F.col("sketch").alias("a")), "member")
-        .join(sketch.select(F.col("node").alias("hub"), F.col("sketch").alias("b")), "hub")
+        near.join(sketch.select(F.col("node").alias("member"), F.col("doc").alias("with"), F.col("sketch").alias("a")), "member")
+        .join(sketch.select(F.col("node").alias("hub"), F.col("doc").alias("of"), F.col("sketch").alias("b")), "hub")
         .filter(_maybe("a", "b", least))
-        .select("hub", "member")
     )
-    links = confirmed(near, nodes, docs, least, scratch, "star")
+    links = confirmed(near, docs, least, scratch, "star")
     labels = scratch.keep(components(links, scratch, "first"), "labels")
 
     # What one bucket still holds in two components, the hub aside: every member has met it.
@@ -274,7 +268,7 @@ def near_duplicates(docs: DataFrame, least: int = 75) -> DataFrame:
     else:
         merged = _second_pass(rest, nodes, docs, least, scratch)
     final = (
-        nodes.select("s1", "s2", "node", "doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        nodes.select("s1", "s2", "node", F.col("doc.doc_id").alias("doc")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         .join(merged, "label", "left").select("s1", "s2", "doc", F.coalesce("top", "label").alias("component"))
     )
     final = scratch.keep(final, "joined")
@@ -311,7 +305,7 @@ def _cells(rest: DataFrame, cell: int, scratch: Scratch) -> DataFrame:
     return met.select("band", "place", "node", "label", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "at")
 
 
-_CELL = "band long, place int, lo int, hi int, at int, node long, label long, n long, bands array<long>, sketch array<long>"
+_CELL = "band long, place int, lo int, hi int, at int, node long, label long, doc_id long, h long, n long, bands array<long>, sketch array<long>"
 
 
 def _pairs(rows: list[dict], least: int) -> Iterator[tuple[int, int]]:
@@ -410,10 +404,10 @@ def _second_pass(rest: DataFrame, nodes: DataFrame, docs: DataFrame, least: int,
     """
     names = [c.split()[0] for c in _CELL.split(", ")]
     cells = scratch.keep(_cells(rest, cell, scratch), "cells")
-    rows = cells.join(nodes.select("node", "n", "bands", "sketch"), "node").select(*names)
+    rows = cells.join(nodes.select("node", "doc.*", "n", "bands", "sketch"), "node").select(*names)
     dealt = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "node")
     needed = scratch.keep(dealt.mapInArrow(_needed(least), _CELL), "needed")
-    with_texts = _texts_of(needed.withColumn("id", F.col("node")), nodes, docs).withColumnRenamed("id", "node")
+    with_texts = _texts(docs).join(needed, ["doc_id", "h"])
     dealt = with_texts.select(*names, "text").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "node")
     links = scratch.keep(dealt.mapInArrow(_meet(least), "hub long, member long").distinct(), "rest-links")
     return scratch.keep(components(links, scratch, "second").withColumnRenamed("label", "top").withColumnRenamed("node", "label"), "merged")

@@ -371,6 +371,27 @@ def test_license_labels(spark):
     assert got[3]["score"] == 0 and got[3]["first_word"] is None and got[3]["n_words"] == 0
 
 
+def test_whole_licence_texts(spark):
+    rows = [(k, f"before it {' '.join(t.words).title()} after") for k, t in enumerate(licenses.TEMPLATES)] + [(99, " ".join(licenses.TEMPLATES[3].words[:40]))]
+    docs = cases.documents(spark, rows).withColumn("_words", F.lit("clash")).withColumn("n_words", F.lit(-1)).withColumn("_text", F.lit(None))
+    found = licenses.scan(docs)
+    assert set(found.columns) == {*docs.columns, "places"}
+    got = {r["doc_id"]: r for r in found.collect()}
+    for k, t in enumerate(licenses.TEMPLATES):
+        assert t.label in [p["label"] for p in got[k]["places"] if p["share"] == 1.0] and got[k]["_words"] == "clash" and got[k]["n_words"] == len(t.words) + 3
+    assert 0.1 < max(p["share"] for p in got[99]["places"]) < 0.5
+
+
+def test_phrases_at_odd_places_against_a_search(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [*licenses._vocabulary(), "x", "é", "Mit", "CC", "By"]
+    rows = [(k, " ".join(rng.choice(vocabulary, rng.integers(0, 400)))) for k in range(60)] + [(100 + k, " ".join(rng.choice(["cc", "by", "nc", "sa", "mit", "license"], 300))) for k in range(10)]
+    got = {r["doc_id"]: sorted((p["label"], p["base"], p["start"]) for p in r["places"]) for r in licenses.scan(cases.documents(spark, rows)).collect()}
+    for k, text in rows:
+        words = re.findall(licenses.WORD, text.lower())
+        assert got[k] == sorted((t.label, t.base, i) for t in licenses.TEMPLATES for i in range(len(words)) if tuple(words[i : i + len(t.phrase)]) == t.phrase)
+
+
 # -- quality -------------------------------------------------------------------
 
 
