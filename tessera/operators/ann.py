@@ -162,13 +162,38 @@ class Graph:
         return [(n, s) for s, n in found if allowed is None or allowed(n)][:k]
 
 
-def beams(allowed: int, rows: int, ef: int) -> list[int] | None:
-    """None for an exact scan (few rows are allowed), else the beams to try in turn, wider for rarer rows."""
-    if allowed <= 5000 or (allowed <= 50_000 and allowed <= 0.05 * rows):
+# Allowed rows up to which a scan is exact, always or as a share of all; widenings of the beam, and of the last, unfiltered search.
+SCAN, SCAN_MOST, SCAN_SHARE = 5_000, 50_000, 0.05
+WIDER = {2: ((8, 16, 32), 64), 8: ((4, 8, 16), 32), None: ((2, 4, 8), 32)}
+
+
+def beams(allowed: int, rows: int, ef: int, k: int) -> list[int] | None:
+    """None for an exact scan (few rows are allowed), else the beams to try in turn, wider the fewer rows are allowed for each of the k."""
+    if allowed <= SCAN or (allowed <= SCAN_MOST and allowed <= SCAN_SHARE * rows):
         return None
-    share = allowed / max(rows, 1)
-    factors = (8, 16, 32) if share < 0.1 else (4, 8, 16) if share < 0.3 else (2, 4, 8)
-    return [min(8192, ef * f) for f in factors]
+    factors, _ = next(v for times, v in WIDER.items() if times is None or allowed <= times * k)
+    return [max(ef, k), *(max(ef, k) * f for f in factors)]
+
+
+def filtered_search(graph: "Graph", query: Sequence[float], k: int, ef: int, allowed: set[int]) -> list[tuple[int, float]]:
+    """(row, score) of the k best allowed rows: an exact scan for few; else ever wider beams, and at last an unfiltered search that is filtered then."""
+    rows = len(graph.vectors)
+    target = min(k, len(allowed))
+    widths = beams(len(allowed), rows, ef, k)
+    if widths is None:
+        some = np.array(sorted(a for a in allowed if a < rows), dtype=np.int64)
+        scores = graph.vectors[some] @ np.asarray(query, dtype=np.float32)
+        return [(int(some[i]), float(scores[i])) for i in np.lexsort((some, -scores))[:k]]
+    best: list[tuple[int, float]] = []
+    for width in widths:
+        found = graph.search(query, k, width, allowed.__contains__)
+        best = max(best, found, key=len)
+        if len(best) >= target:
+            return best
+    _, times = next(v for most, v in WIDER.items() if most is None or len(allowed) <= most * k)
+    many = min(max(k, target) * times, 4096, max(rows, k))
+    routed = [x for x in graph.search(query, many, min(2 * max(ef, many), 8192)) if x[0] in allowed][:k]
+    return max(best, routed, key=len)
 
 
 def graph_topk(rows: DataFrame, queries: DataFrame, k: int, ef: int = 50, shards: int = 8, key: str = "vector_id", vector: str = "vector") -> DataFrame:

@@ -8,6 +8,7 @@ proxy stage and the rerank skip it.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -78,15 +79,21 @@ def _checked(query: Sequence[float], band: int, max_band: int | None) -> np.ndar
     return np.asarray(query, dtype=np.float64)
 
 
-def _distances(query: np.ndarray, band: int, skip_empty: bool):
+def _distances(query: np.ndarray, band: int, skip_empty: bool, k: int | None = None):
+    """With ``k``, a series is given up once it is further than the k nearest of its partition so far, and is infinitely far."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nearest: list[float] = []  # of the k nearest, the furthest first (negated)
         for batch in batches:
             keys, found = [], []
             for key, series in zip(batch.column("key").to_pylist(), batch.column("series").to_pylist(), strict=True):
                 if not series and skip_empty:
                     continue
                 keys.append(key)
-                found.append(distance(query, np.asarray(series or [], dtype=np.float64), band))
+                far = -nearest[0] if k is not None and len(nearest) == k else np.inf
+                found.append(distance(query, np.asarray(series or [], dtype=np.float64), band, far))
+                if k is not None and found[-1] < far:
+                    (heapq.heappush if len(nearest) < k else heapq.heapreplace)(nearest, -found[-1])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.float64())], names=["key", "distance"])
 
     return run
@@ -117,7 +124,7 @@ def topk(rows: DataFrame, query: Sequence[float], k: int, band: int, max_band: i
     values = _checked(query, band, max_band)
     if k == 0:
         return _nothing(rows, key)
-    found = rows.select(F.col(key).cast("long").alias("key"), F.col(series).cast("array<double>").alias("series")).mapInArrow(_distances(values, band, skip_empty), "key long, distance double")
+    found = rows.select(F.col(key).cast("long").alias("key"), F.col(series).cast("array<double>").alias("series")).mapInArrow(_distances(values, band, skip_empty, k), "key long, distance double")
     return _ranked(found.filter(F.col("distance") < F.lit(float("inf"))).withColumnRenamed("key", key), k, key)
 
 

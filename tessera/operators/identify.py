@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,17 +37,56 @@ def positions(spark: SparkSession, sequence: Sequence[Sequence[float]]) -> DataF
     return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(sequence)], "pos int, query array<double>")
 
 
-def runs(frames: DataFrame, sequence: Sequence[Sequence[float]], unit: str = "segment_id", key: str = "vector_id", vector: str = "vector") -> DataFrame:
+#: Ids of a block of frames.
+BLOCK = 4096
+
+
+def _block_runs(sequence: np.ndarray, width: int, unit: str):
+    """Of one block's frames and the border behind it, the runs that start in the block."""
+    length, dim = sequence.shape
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("_id").to_numpy(), kind="stable")
+        ids = table.column("_id").to_numpy()[order]
+        block = table.column("_block")[0].as_py()
+        column = table.column("_vector").combine_chunks()
+        if (column.value_lengths().to_numpy(zero_copy_only=False) != dim).any():
+            raise DimensionMismatch(f"frames of other than {dim} components")
+        rows = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)[order]
+        n = len(ids) - length + 1
+        start = np.zeros(0, dtype=np.int64)
+        total = np.zeros(0)
+        if n > 0:
+            at = np.flatnonzero((ids[length - 1 :] - ids[:n] == length - 1) & (ids[:n] // width == block))
+            alike = np.concatenate(([0], np.cumsum(np.diff(ids) == 0)))  # an id that repeats makes no run
+            at = at[alike[at + length - 1] == alike[at]]
+            start, total = ids[at], np.zeros(len(at))
+            for pos in range(length):  # in query order, each product in component order
+                part = np.zeros(len(at))
+                for d in range(dim):
+                    part += rows[at + pos, d] * sequence[pos, d]
+                total += part
+        one = table.column(unit).combine_chunks()[:1]
+        return pa.table({unit: one.take(pa.array(np.zeros(len(start), dtype=np.int64))), "start": pa.array(start), "score": pa.array(total / length)})
+
+    return run
+
+
+def runs(frames: DataFrame, sequence: Sequence[Sequence[float]], unit: str = "segment_id", key: str = "vector_id", vector: str = "vector", block: int = BLOCK) -> DataFrame:
     """(unit, start, score): every run of len(sequence) consecutive ids inside one unit, with the mean inner product in query order.
 
-    Each frame meets each query position once; the products of a start are combined in
-    part on the map side.  A null unit is the hot window.
+    Frames are dealt by blocks of ids, the first ones of a block also to the block
+    before it, so that every run lies in one block; each frame travels once, but for
+    those borders.  A null unit is the hot window; negative ids start no run.
     """
     length = len(sequence)
-    paired = frames.select(unit, F.col(key).alias("_id"), F.col(vector).alias("_vector")).join(F.broadcast(positions(frames.sparkSession, sequence)))
-    scored = paired.select(unit, (F.col("_id") - F.col("pos")).alias("start"), "pos", V.dot("_vector", "query").alias("d")).filter("start >= 0")
-    grouped = scored.groupBy(unit, "start").agg(F.array_sort(F.collect_list(F.struct("pos", "d"))).alias("parts")).filter(F.size("parts") == length)
-    return grouped.select(unit, "start", (F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["d"]) / length).alias("score"))
+    width = max(block, 4 * length)
+    queries = np.array([[float(x) for x in v] for v in sequence], dtype=np.float64)
+    own = F.floor(F.col(key) / width).cast("long")
+    before = F.when((F.pmod(F.col(key), F.lit(width)) < length - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    dealt = frames.filter(F.col(key) >= 0).select(unit, F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_vector"), F.explode(before).alias("_block"))
+    kind = frames.schema[unit].dataType.simpleString()
+    return dealt.groupBy(unit, "_block").applyInArrow(_block_runs(queries, width, unit), f"{unit} {kind}, start long, score double")
 
 
 def anchored_runs(frames: DataFrame, sequence: Sequence[Sequence[float]], candidates: int, unit: str = "segment_id", key: str = "vector_id", vector: str = "vector") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,10 +17,10 @@ def idempotency_key(key: str | Column = "idempotency_key") -> Column:
 
 
 def checkpointed(rows: DataFrame) -> DataFrame:
-    """``rows`` written to the folder in ``spark.checkpoint.dir``; one is set only where that is unset."""
+    """``rows`` written to the folder in ``spark.checkpoint.dir``; where that is unset, to the warehouse, which a cluster shares too."""
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or rows.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tessera-checkpoints")
     return rows.checkpoint()
 
 

@@ -56,36 +56,77 @@ def merge_best(*parts: DataFrame, key: str = "vector_id") -> DataFrame:
     return out.groupBy(key).agg(F.max("score").alias("score"))
 
 
-def _score_blocks(queries: np.ndarray, ids: np.ndarray, k: int):
+#: Scores that a task holds at once.
+SCORES = 4 << 20
+
+
+def _best(query: np.ndarray, key: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, key, score) rows the k best of each query, ties to the smaller key."""
+    order = np.lexsort((key, -score, query))
+    query, key, score = query[order], key[order], score[order]
+    first = np.flatnonzero(np.diff(query, prepend=-1))
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return query[place < k], key[place < k], score[place < k]
+
+
+def _products(queries: np.ndarray, rows: np.ndarray, ordered: bool) -> np.ndarray:
+    """Inner products; ``ordered``: summed in component order, as an expression would."""
+    if not ordered:
+        return queries @ rows.T
+    out = np.zeros((len(queries), len(rows)))
+    for d in range(rows.shape[1]):
+        out += np.multiply.outer(queries[:, d], rows[:, d])
+    return out
+
+
+def best_of_units(scored: DataFrame, k: int, key: str = "vector_id", unit: str = "segment_id") -> DataFrame:
+    """(key, score): rows among which the k best ids are, each with its best score.
+
+    An id occurs once in a unit, so what is among the k best ids is among the k best of
+    its unit; each partition sends on k rows of a unit at most, and only those are
+    grouped by id.
+    """
+    window = Window.partitionBy(unit).orderBy(F.desc("score"), key)
+    return merge_best(scored.withColumn("_place", F.row_number().over(window)).filter(F.col("_place") <= k), key=key)
+
+
+def _score_blocks(queries: np.ndarray, ids: np.ndarray, k: int, ordered: bool):
+    """Each block of rows against blocks of queries, SCORES at once; what may be among a query's k best joins what it has so far."""
+    dim = queries.shape[1]
+    step = 4096
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_score = np.full((len(queries), 0), -np.inf)
-        best_key = np.zeros((len(queries), 0), dtype=np.int64)
+        best = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
         for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                part = batch.slice(at, 8192)
-                flat = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                column = part.column("vector")
+                if len(part) and (np.diff(column.offsets.to_numpy()) != dim).any():
+                    raise DimensionMismatch(f"rows of other than {dim} components")
+                rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                 keys = part.column("key").to_numpy()
-                scores = np.concatenate([best_score, queries @ flat.reshape(len(keys), -1).T], axis=1)
-                named = np.concatenate([best_key, np.broadcast_to(keys, (len(queries), len(keys)))], axis=1)
-                order = np.lexsort((named, -scores), axis=1)[:, :k]
-                best_score, best_key = np.take_along_axis(scores, order, 1), np.take_along_axis(named, order, 1)
-        n = best_key.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_key.ravel()), pa.array(best_score.ravel())], names=["query_id", "key", "score"])
+                for lo in range(0, len(queries), max(1, SCORES // step)):
+                    scores = _products(queries[lo : lo + max(1, SCORES // step)], rows, ordered)
+                    if len(keys) > k:
+                        least = np.partition(scores, len(keys) - k, axis=1)[:, len(keys) - k]
+                        which, place = np.nonzero(scores >= least[:, None])
+                    else:
+                        which, place = np.divmod(np.arange(scores.size), max(1, len(keys)))
+                    found = which + lo, keys[place], scores[which, place]
+                    best = tuple(np.concatenate(x) for x in zip(best, found, strict=True))
+                best = _best(*best, k)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "key", "score"])
 
     return run
 
 
 def batch_topk(rows: DataFrame, queries: DataFrame, k: int, key: str = "vector_id", vector: str = "vector", pad: bool = False) -> DataFrame:
-    """(query_id, rank, key, score): k best rows for each query (query_id, query) by inner product.
+    """(query_id, rank, key, score): k best rows for each query (query_id, query) by inner product, summed in component order.
 
-    Column form: each query meets each row in codegen and a window keeps k, of which
-    each partition sends on k at most.  With ``pad``, queries with fewer rows are
-    filled up to k with id -1 and a score of minus infinity.
+    :func:`batch_topk_blocks` with ordered sums.  With ``pad``, queries with fewer rows
+    are filled up to k with id -1 and a score of minus infinity.
     """
-    pairs = queries.select("query_id", F.col("query").alias("_query")).crossJoin(rows.select(F.col(key).alias("_key"), F.col(vector).alias("_vector")))
-    scored = pairs.select("query_id", F.col("_key").alias(key), V.dot("_query", "_vector").alias("score"))
-    window = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    best = scored.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    best = batch_topk_blocks(rows, queries, k, key, vector, ordered=True)
     if not pad:
         return best
     slots = queries.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
@@ -93,12 +134,13 @@ def batch_topk(rows: DataFrame, queries: DataFrame, k: int, key: str = "vector_i
     return filled.select("query_id", "rank", F.coalesce(key, F.lit(-1)).alias(key), F.coalesce("score", F.lit(float("-inf"))).alias("score"))
 
 
-def batch_topk_blocks(rows: DataFrame, queries: DataFrame, k: int, key: str = "vector_id", vector: str = "vector") -> DataFrame:
-    """:func:`batch_topk` by matrix products, a bounded block of queries at a time.
+def batch_topk_blocks(rows: DataFrame, queries: DataFrame, k: int, key: str = "vector_id", vector: str = "vector", ordered: bool = False) -> DataFrame:
+    """(query_id, rank, key, score): k best rows for each query by matrix products, a bounded block of queries at a time.
 
-    A block of at most BROADCAST_BYTES goes to every task with the plan; a task keeps
-    k rows of each query, so k * tasks rows of each query are shuffled, whatever the
-    number of rows.  The blocks are taken in turn over query_id ranges.
+    A block of queries of about BROADCAST_BYTES, counted, goes to every task with the
+    plan; the collection stays where it is, and a task keeps k rows of each query, so
+    k * tasks rows of each query are shuffled, whatever the number of rows.  Rows of
+    another length than the queries raise; null vectors are left out.
     """
     first = queries.select(F.size("query").alias("dim")).first()
     if first is None:
@@ -117,7 +159,7 @@ def batch_topk_blocks(rows: DataFrame, queries: DataFrame, k: int, key: str = "v
         if own["query"].map(len).ne(dim).any():
             raise DimensionMismatch(f"queries of other than {dim} components")
         matrix = np.array([*own["query"]], dtype=np.float64)
-        part = table.mapInArrow(_score_blocks(matrix, own["query_id"].to_numpy(dtype=np.int64), k), "query_id long, key long, score double")
+        part = table.mapInArrow(_score_blocks(matrix, own["query_id"].to_numpy(dtype=np.int64), k, ordered), "query_id long, key long, score double")
         found = part if found is None else found.unionByName(part)
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
     return found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("key").alias(key), "score")
@@ -141,8 +183,9 @@ def in_tier(rows: DataFrame, tier: str, tiers: dict[str, str]) -> DataFrame:
 def query(rows: DataFrame, vector: Sequence[float], dim: int, k: int = 10, tags_all: Sequence[str] = (), tags_any: Sequence[str] = (), tier: str = "active", include_metadata: bool = True) -> DataFrame:
     """The query request: tier, tag filter, inner product, best score of each id, top k, metadata of those only.
 
-    ``rows``: vector_id, vector, tags, level, pq, and the metadata columns.  A filter
-    that cannot be resolved raises; it never falls back to no filter.
+    ``rows``: vector_id, vector, tags, level, pq, and the metadata columns; with
+    segment_id (null: hot), ids are unique in each segment.  A filter that cannot be
+    resolved raises; it never falls back to no filter.
     """
     if len(vector) != dim:
         raise DimensionMismatch(f"dimension mismatch: expected {dim}, got {len(vector)}")
@@ -150,10 +193,18 @@ def query(rows: DataFrame, vector: Sequence[float], dim: int, k: int = 10, tags_
     predicate = tag_filter("tags", tags_all, tags_any)
     if predicate is not None:
         chosen = chosen.filter(predicate)
-    scored = chosen.select("vector_id", V.dot("vector", V.vector(vector)).alias("score"))
-    best = top(merge_best(scored), k).select("rank", "vector_id", "score") if k else scored.limit(0).select(F.lit(0).alias("rank"), "vector_id", "score")
+    units = "segment_id" in chosen.columns
+    scored = chosen.select("vector_id", *(["segment_id"] if units else []), V.dot("vector", V.vector(vector)).alias("score"))
+    if not k:
+        best = scored.limit(0).select(F.lit(0).alias("rank"), "vector_id", "score")
+    else:
+        best = top(best_of_units(scored, k) if units else merge_best(scored), k).select("rank", "vector_id", "score")
     if not include_metadata:
         return best
+    if units:  # of rows in several units the newest tells the metadata: the hot window, then the latest segment
+        newest = Window.partitionBy("vector_id").orderBy(F.col("segment_id").isNotNull(), F.desc("segment_id"))
+        chosen = chosen.join(F.broadcast(best.select("vector_id")), "vector_id", "left_semi").withColumn("_place", F.row_number().over(newest)).filter("_place = 1")
+        return envelope(best, chosen)
     return envelope(best, chosen).dropDuplicates(["vector_id"])
 
 

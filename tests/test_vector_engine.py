@@ -160,7 +160,7 @@ def test_graph_filter_and_beams():
     found = graph.search(vectors[3], 5, 100, lambda n: n % 2 == 1)
     assert found[0][0] == 3 and all(n % 2 for n, _ in found)
     assert ann.Graph(vectors[:0]).search(vectors[0], 3, 10) == []
-    assert ann.beams(5000, 10**6, 50) is None and ann.beams(50_000, 10**6, 50) is None and ann.beams(600_000, 10**6, 50) == [100, 200, 400]
+    assert ann.beams(5000, 10**6, 50, 10) is None and ann.beams(50_000, 10**6, 50, 10) is None and ann.beams(600_000, 10**6, 50, 10) == [50, 100, 200, 400]
 
 
 def test_idempotent_batches(spark):
