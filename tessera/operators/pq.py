@@ -139,6 +139,17 @@ def adc(codes: str | Column, table: str | Column) -> Column:
     return F.aggregate(F.zip_with(V.col(codes), V.col(table), lambda c, t: F.get(t, c)), F.lit(0.0), lambda s, x: s + x)
 
 
+def nearest_codes(rows: DataFrame, book: Sequence[Sequence[Sequence[float]]], query: Sequence[float], k: int, key: str = "vector_id", codes: str = "codes") -> DataFrame:
+    """The 4k ``rows`` nearest to ``query`` by asymmetric distance, ties to the smaller id."""
+    table = rows.sparkSession.createDataFrame([(adc_table(book, query),)], "_adc array<array<double>>")  # one row
+    return rows.join(F.broadcast(table)).withColumn("_far", adc(codes, "_adc")).orderBy("_far", key).limit(max(4 * k, k)).drop("_adc", "_far")
+
+
+def decoded(rows: DataFrame, book: Sequence[Sequence[Sequence[float]]], codes: str = "codes") -> DataFrame:
+    """``rows`` with the vector that their codes stand for."""
+    return rows.join(F.broadcast(book_frame(rows.sparkSession, book))).withColumn("vector", decode(codes, "book").cast("array<float>")).drop("book")
+
+
 def archive_search(rows: DataFrame, book: Sequence[Sequence[Sequence[float]]], query: Sequence[float], k: int, key: str = "vector_id", codes: str = "codes") -> DataFrame:
     """(rank, key, score) of one archive segment: 4k rows by asymmetric distance, reranked by the inner product with the decoded vector."""
     spark = rows.sparkSession

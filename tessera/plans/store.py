@@ -1,16 +1,21 @@
-"""A collection on disk: immutable Parquet versions under a manifest that is replaced by a rename.
-
-The write-ahead log and the segments are Parquet folders; the manifest names those of
-the current version, so readers resolve it once and never see half a change.  All
-files go through Hadoop's file system, so any that Spark knows will do.
+"""A collection on disk: immutable Parquet folders under numbered manifests, of which the highest is the current one.
+
+The write-ahead log and the segments are Parquet folders; a manifest names those of
+its version, so readers resolve it once and never see half a change.  A writer claims
+the next number by creating a file that must not exist, and publishes by renaming a
+finished file to the manifest's name; no file is ever replaced, so there is a current
+version at any moment.  All files go through Hadoop's file system; it must create
+files exclusively and rename them in one step (HDFS and mounted file systems do,
+plain object stores don't).
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 
 from py4j.protocol import Py4JJavaError
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.errors import Conflict, DimensionMismatch, InvalidTags, RequestError
-from tessera.functions.tags import invalid_tags
+from tessera.functions.tags import invalid_tags, tag_filter
 from tessera.operators import identify as identify_runs
 from tessera.operators import ingest, lifecycle, pq, search
 
@@ -40,7 +45,7 @@ class Store:
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not self._fs.exists(self._path(self._current())):
+        if self._version() is None:
             if dim is None:
                 raise RequestError("a new collection needs a dimension")
             self._fs.mkdirs(self._path(f"{self.folder}/manifests"))
@@ -50,14 +55,24 @@ class Store:
 
     # -- manifest
 
-    def _current(self) -> str:
-        return f"{self.folder}/manifests/CURRENT"
+    def _named(self, version: int) -> str:
+        return f"{self.folder}/manifests/v{version:08d}.json"
+
+    def _list(self, folder: str) -> list:
+        """(name, age in seconds) of what is in a folder."""
+        root = self._path(f"{self.folder}/{folder}")
+        if not self._fs.exists(root):
+            return []
+        return [(f.getPath().getName(), time.time() - f.getModificationTime() / 1000) for f in self._fs.listStatus(root)]
+
+    def _version(self) -> int | None:
+        return max((int(name[1:-5]) for name, _ in self._list("manifests") if name.startswith("v") and name.endswith(".json")), default=None)
 
     def _text(self, path: str) -> str:
         return self.spark.read.text(path, wholetext=True).first()[0]
 
     def manifest(self) -> dict:
-        return json.loads(self._text(self._current()))
+        return json.loads(self._text(self._named(self._version())))
 
     def _put(self, path: str, text: str) -> None:
         out = self._fs.create(self._path(path), True)
@@ -65,24 +80,35 @@ class Store:
         out.close()
 
     def _publish(self, manifest: dict) -> None:
-        """The version file is created exclusively, so of two writers one fails; CURRENT is replaced by a rename."""
-        own = self._path(f"{self.folder}/manifests/v{manifest['version']:08d}.json")
-        if not self._fs.createNewFile(own):
+        """Of two writers of one version the second finds its number claimed; :meth:`recover` frees a claim whose writer is gone."""
+        own = self._named(manifest["version"])
+        claim = self._path(f"{self.folder}/manifests/{manifest['version']:08d}.claim")
+        if self._fs.exists(self._path(own)) or not self._created(claim):
             raise Conflict(f"version {manifest['version']} is taken")
         temporary = f"{self.folder}/manifests/.{uuid.uuid4().hex}"
         self._put(temporary, json.dumps(manifest))
-        self._put(str(own.toString()), json.dumps(manifest))
-        self._fs.delete(self._path(self._current()), False)
-        if not self._fs.rename(self._path(temporary), self._path(self._current())):
-            raise Conflict("the manifest could not be replaced")
+        if self._fs.exists(self._path(own)) or not self._fs.rename(self._path(temporary), self._path(own)):
+            raise Conflict(f"version {manifest['version']} is taken")
+
+    def _created(self, path) -> bool:
+        try:
+            return self._fs.createNewFile(path)
+        except Py4JJavaError:  # some file systems raise where a file exists
+            return False
 
     def _change(self, manifest: dict, job: str = "", **changes) -> dict:
+        now = datetime.now(UTC).isoformat(timespec="seconds")
         new = manifest | changes | {"version": manifest["version"] + 1}
         if job:
-            new["jobs"] = [*manifest["jobs"], {"kind": job, "state": "completed", "at": datetime.now(UTC).isoformat(timespec="seconds")}][-500:]
+            new["jobs"] = [*manifest["jobs"], {"kind": job, "state": "completed", "at": now}][-500:]
+        new["audit"] = [*manifest["audit"], {"at": now, "action": job or "ingest", "version": new["version"], "rows": new["next_id"] - manifest["next_id"]}][-1000:]
         self._publish(new)
         return new
 
+    def audit(self) -> DataFrame:
+        """(at, action, version, rows) of the last thousand changes, rows being the ids that were given out."""
+        return self.spark.createDataFrame([(a["at"], a["action"], a["version"], a["rows"]) for a in self.manifest()["audit"]], "at string, action string, version long, rows long")
+
     # -- tables
 
     def _wal(self, manifest: dict) -> DataFrame:
@@ -97,25 +123,41 @@ class Store:
     def vectors(self) -> DataFrame:
         """All rows with segment_id, level (null: hot) and pq; codes of quantised segments are decoded."""
         m = self.manifest()
-        hot = self._wal(m).filter(F.col("lsn") > m["checkpointed_lsn"]).select(*_ROWS)
-        out = hot.withColumns({"segment_id": F.lit(None).cast("long"), "level": F.lit(None).cast("int"), "pq": F.lit(False)})
-        for s in m["segments"]:
-            if s["state"] == "active":
-                out = out.unionByName(self._segment(m, s))
-        return out
+        return self._rows(lambda s: self._segment(m, s))
+
+    def _book(self, s: dict) -> list:
+        return pq.book_of(self.spark.read.parquet(f"{self.folder}/{s['path']}-codebook").select("centroids", "subspace"))
 
     def _segment(self, m: dict, s: dict) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.folder}/{s['path']}")
         if s["pq"]:
-            book = self.spark.read.parquet(f"{self.folder}/{s['path']}-codebook").select(F.col("centroids"), "subspace")
-            rows = rows.join(F.broadcast(pq.book_frame(self.spark, pq.book_of(book)))).withColumn("vector", pq.decode("codes", "book").cast("array<float>"))
+            rows = pq.decoded(rows, self._book(s))
+        return self._labelled(rows, s)
+
+    def _labelled(self, rows: DataFrame, s: dict) -> DataFrame:
         return rows.select(*_ROWS).withColumns({"segment_id": F.lit(s["segment_id"]).cast("long"), "level": F.lit(s["level"]).cast("int"), "pq": F.lit(s["pq"])})
 
+    def _rows(self, of: Callable[[dict], DataFrame]) -> DataFrame:
+        """The hot window's rows and, by ``of``, each active segment's."""
+        m = self.manifest()
+        hot = self._wal(m).filter(F.col("lsn") > m["checkpointed_lsn"]).select(*_ROWS)
+        out = hot.withColumns({"segment_id": F.lit(None).cast("long"), "level": F.lit(None).cast("int"), "pq": F.lit(False)})
+        for s in m["segments"]:
+            if s["state"] == "active":
+                out = out.unionByName(of(s))
+        return out
+
     # -- requests
 
-    def ingest(self, batch: DataFrame) -> DataFrame:
-        """Idempotent append of (ord, vector, ...); acks (ord, id, created).  One bad row rejects the batch before anything is written."""
+    def ingest(self, batch: DataFrame, stream: tuple[str, int] | None = None) -> DataFrame | None:
+        """Idempotent append of (ord, vector, ...); acks (ord, id, created).  One bad row rejects the batch before anything is written.
+
+        ``stream``: a stream's name and its batch's number, published with the rows; a
+        batch that is there already is not appended again, and gives None.
+        """
         m = self.manifest()
+        if stream and m.get("streams", {}).get(stream[0], -1) >= stream[1]:
+            return None
         rows = ingest.with_defaults(batch)
         if "tags" in batch.columns and (bad := batch.select(invalid_tags("tags").alias("why")).filter("why is not null").first()):
             raise InvalidTags(bad["why"])
@@ -128,11 +170,25 @@ class Store:
         new.withColumn("lsn", F.col("vector_id") + shift).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in WAL.fields)).write.parquet(f"{self.folder}/{name}")
         acks = ingest.checkpointed(acks)
         count = acks.filter("created").count()
-        self._change(m, next_id=m["next_id"] + count, next_lsn=m["next_lsn"] + count, wal=[*m["wal"], name])
+        streams = m.get("streams", {}) | ({stream[0]: stream[1]} if stream else {})
+        self._change(m, next_id=m["next_id"] + count, next_lsn=m["next_lsn"] + count, wal=[*m["wal"], name], streams=streams)
         return acks
 
-    def query(self, vector: Sequence[float], **options) -> DataFrame:
-        return search.query(self.vectors(), vector, self.manifest()["dim"], **options)
+    def query(self, vector: Sequence[float], k: int = 10, tags_all: Sequence[str] = (), tags_any: Sequence[str] = (), **options) -> DataFrame:
+        """:func:`search.query`; of a quantised segment, the rows nearest by asymmetric distance alone are decoded and scored."""
+        m = self.manifest()
+        if len(vector) != m["dim"]:
+            raise DimensionMismatch(f"dimension mismatch: expected {m['dim']}, got {len(vector)}")
+        predicate = tag_filter("tags", tags_all, tags_any)
+
+        def of(s: dict) -> DataFrame:
+            if not s["pq"]:
+                return self._segment(m, s)
+            rows, book = self.spark.read.parquet(f"{self.folder}/{s['path']}"), self._book(s)
+            rows = rows if predicate is None else rows.filter(predicate)
+            return self._labelled(pq.decoded(pq.nearest_codes(rows, book, vector, k), book), s)
+
+        return search.query(self._rows(of), vector, m["dim"], k, tags_all, tags_any, **options)
 
     def identify(self, sequence: Sequence[Sequence[float]], **options) -> DataFrame:
         return identify_runs.identify(self.vectors(), sequence, self.manifest()["dim"], **options)
@@ -185,19 +241,47 @@ class Store:
         return segment
 
     def collect_garbage(self) -> int:
-        """Delete segment folders that the manifest does not name as active; returns how many."""
+        """Delete the folders of segments that the manifest calls obsolete; returns how many.  What no manifest names yet is left alone."""
         m = self.manifest()
-        living = {s["path"] for s in m["segments"] if s["state"] == "active"} | {f"{s['path']}-codebook" for s in m["segments"] if s["state"] == "active"}
         gone = 0
-        root = self._path(f"{self.folder}/segments")
-        if self._fs.exists(root):
-            for status in self._fs.listStatus(root):
-                name = f"segments/{status.getPath().getName()}"
-                if name not in living:
-                    gone += bool(self._fs.delete(status.getPath(), True))
-        self._change(m, "gc", segments=[s for s in m["segments"] if s["state"] == "active"])
+        for s in m["segments"]:
+            if s["state"] == "obsolete":
+                for path in (s["path"], f"{s['path']}-codebook"):
+                    gone += bool(self._fs.delete(self._path(f"{self.folder}/{path}"), True))
+        self._change(m, "gc", segments=[s for s in m["segments"] if s["state"] != "obsolete"])
         return gone
 
+    def recover(self, grace: float = 3600.0) -> dict[str, int]:
+        """After a crash: everything that a writer left behind over ``grace`` seconds ago, in one call.
+
+        Claims without a manifest are freed and unfinished manifests deleted; folders
+        that the current manifest does not name go to quarantine; what is over its time
+        or beyond the quarantine's caps is deleted.  Folders that the manifest names and
+        that are gone raise.  Returns counts of each.
+        """
+        m = self.manifest()
+        out = {"claims": 0, "unfinished": 0, "orphans": 0, "evicted": 0}
+        for name, age in self._list("manifests"):
+            stale = name.endswith(".claim") and int(name[:-6]) > m["version"]
+            if age > grace and (stale or name.startswith(".") and not name.endswith(".crc")):
+                out["claims" if stale else "unfinished"] += bool(self._fs.delete(self._path(f"{self.folder}/manifests/{name}"), False))
+        named = {*m["wal"]} | {p for s in m["segments"] for p in (s["path"], f"{s['path']}-codebook")}
+        lost = [p for p in self._living(m) if not self._fs.exists(self._path(f"{self.folder}/{p}"))]
+        if lost:
+            raise RequestError(f"the manifest names folders that are gone: {', '.join(lost[:5])}")
+        quarantine = self._path(f"{self.folder}/quarantine")
+        self._fs.mkdirs(quarantine)
+        for kind in ("wal", "segments"):
+            for name, age in self._list(kind):
+                if f"{kind}/{name}" not in named and age > grace:
+                    out["orphans"] += bool(self._fs.rename(self._path(f"{self.folder}/{kind}/{name}"), self._path(f"{self.folder}/quarantine/{int(time.time())}-{kind}-{name}")))
+        held = [(name, int(name.split("-")[0]), self._fs.getContentSummary(self._path(f"{self.folder}/quarantine/{name}")).getLength()) for name, _ in self._list("quarantine")]
+        if held:
+            gone = lifecycle.evicted(self.spark.createDataFrame(held, "id string, quarantined_at long, bytes long"), int(time.time()))
+            for row in gone.select("id").collect():  # the quarantine is capped
+                out["evicted"] += bool(self._fs.delete(self._path(f"{self.folder}/quarantine/{row['id']}"), True))
+        return out
+
     def _digest(self, paths: list[str]) -> dict[str, str]:
         if not paths:
             return {}

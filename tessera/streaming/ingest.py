@@ -14,14 +14,15 @@ def stream_into(rows: DataFrame, store: Store, checkpoint: str, once: bool = Tru
     """Append a streaming frame (vector, idempotency_key, ...) to ``store``.
 
     Keys are looked up in the store, not in stream state, so a key is recognised
-    however long ago it came and state does not grow; a replayed batch adds nothing
-    where rows have keys.  ``order`` breaks ties inside a batch.
+    however long ago it came and state does not grow.  The number of a batch is
+    published with its rows, so a replayed batch adds nothing, with keys or without;
+    ``checkpoint`` names the stream.  ``order`` breaks ties inside a batch.
     """
 
-    def put(batch: DataFrame, _: int) -> None:
+    def put(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
             by = list(order) or [c for c in ("idempotency_key", "sequence_ts") if c in batch.columns] or ["vector"]
-            store.ingest(dense_numbers(batch, by, "ord"))
+            store.ingest(dense_numbers(batch, by, "ord"), (checkpoint, number))
 
     writer = rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -74,6 +74,81 @@ def test_snapshot_restore_replay(spark, tmp_path):
         Store(spark, str(tmp_path / "new"))
 
 
+def test_every_step_of_publishing_may_be_the_last(spark, tmp_path, monkeypatch):
+    """A writer that dies between any two steps leaves the version before it readable; recovery lets others go on."""
+    store = Store(spark, str(tmp_path / "store"), 2)
+    store.ingest(batch(spark, 10))
+
+    class Died(Exception):
+        pass
+
+    def die(*_, **__):
+        raise Died
+
+    steps = [("_publish", "before the claim"), ("_put", "after the claim")]
+    for step, _ in steps:
+        with monkeypatch.context() as patch:
+            patch.setattr(store, step, die)
+            with pytest.raises(Died):
+                store.checkpoint()
+        assert Store(spark, store.folder, 2).vectors().count() == 10 and store.manifest()["segments"] == []
+    (tmp_path / "store/manifests/.half").write_text("{")
+    with pytest.raises(Conflict):  # the claim stands
+        store.checkpoint()
+    assert store.recover() == {"claims": 0, "unfinished": 0, "orphans": 0, "evicted": 0}  # nothing is old enough
+    assert store.collect_garbage is not None and len(list((tmp_path / "store/segments").iterdir())) == 3
+    done = store.recover(grace=-1)
+    assert done["claims"] == 1 and done["unfinished"] >= 1 and done["orphans"] == 3
+    assert store.checkpoint()["rows"] == 10 and store.vectors().count() == 10
+    assert [r["action"] for r in store.audit().orderBy("version").collect()] == ["ingest", "checkpoint"]
+    other = Store(spark, store.folder)
+    stale = store.manifest()
+    other.ingest(batch(spark, 1, 50))
+    with pytest.raises(Conflict):
+        store._change(stale, "late")
+
+
+def test_garbage_spares_what_is_not_published(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), 2)
+    store.ingest(batch(spark, 5))
+    store.checkpoint()
+    (tmp_path / "store/segments/00000009-new").mkdir()
+    assert store.collect_garbage() == 0 and (tmp_path / "store/segments/00000009-new").exists()
+    import shutil
+
+    shutil.rmtree(tmp_path / "store" / store.manifest()["segments"][0]["path"])
+    with pytest.raises(RequestError):
+        store.recover()
+
+
+def test_archive_rows_are_preselected_by_codes(spark, tmp_path):
+    from tessera.operators import pq
+
+    store = Store(spark, str(tmp_path / "store"), 2)
+    store.ingest(batch(spark, 600))
+    m = store.manifest()
+    segment = store._write_segment(m, store.vectors(), 2, 600)
+    assert segment["pq"]
+    store._change(m, "checkpoint", checkpointed_lsn=600, segments=[segment], next_segment=2)
+    book = store._book(segment)
+    rows = spark.read.parquet(f"{store.folder}/{segment['path']}")
+    for query, k in (([0.6, 0.8], 3), ([-1.0, 0.1], 5)):
+        want = [(r["rank"], r["vector_id"], r["score"]) for r in pq.archive_search(rows, book, query, k).orderBy("rank").collect()]
+        got = [(r["rank"], r["vector_id"], r["score"]) for r in store.query(query, k, tier="archive", include_metadata=False).orderBy("rank").collect()]
+        assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 1e-6 for g, w in zip(got, want, strict=True))
+
+
+def test_json_lists(spark, tmp_path):
+    from tessera.sources.lists import read_json_vectors
+
+    (tmp_path / "a.json").write_text("[[1, 2.5],\n [3, 4]]")
+    (tmp_path / "b.json").write_text("[]")
+    assert [(r["vector_id"], r["vector"]) for r in read_json_vectors(spark, str(tmp_path)).orderBy("vector_id").collect()] == [(0, [1.0, 2.5]), (1, [3.0, 4.0])]
+    (tmp_path / "c.json").write_text("[[1, 2")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_json_vectors(spark, str(tmp_path / "c.json")).collect()
+
+
 def test_streaming_ingest(spark, tmp_path):
     source = str(tmp_path / "in")
     rows = batch(spark, 20).drop("ord").unionByName(batch(spark, 5).drop("ord"))
@@ -87,6 +162,14 @@ def test_streaming_ingest(spark, tmp_path):
     assert store.vectors().count() == 23 and store.vectors().agg(F.max("vector_id")).first()[0] == 22
 
 
+def test_a_replayed_batch_without_keys_adds_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), 2)
+    rows = batch(spark, 4).withColumn("idempotency_key", F.lit(None).cast("string"))
+    assert store.ingest(rows, ("s", 0)).count() == 4
+    assert store.ingest(rows, ("s", 0)) is None and store.vectors().count() == 4
+    assert store.ingest(rows, ("s", 1)).count() == 4 and store.vectors().count() == 8
+
+
 def test_windowed_counts(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.write.parquet(str(tmp_path / "in"))

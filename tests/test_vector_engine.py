@@ -163,6 +163,45 @@ def test_graph_filter_and_beams():
     assert ann.beams(5000, 10**6, 50, 10) is None and ann.beams(50_000, 10**6, 50, 10) is None and ann.beams(600_000, 10**6, 50, 10) == [50, 100, 200, 400]
 
 
+def test_filtered_search_falls_back():
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(700, 8)).astype(np.float32)
+    graph = ann.Graph(vectors)
+    few = set(range(0, 700, 50))
+    want = sorted(few, key=lambda i: (-float(vectors[i] @ vectors[9]), i))[:5]
+    assert [n for n, _ in ann.filtered_search(graph, vectors[9], 5, 20, few)] == want  # an exact scan
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ann, "SCAN", 0)
+        patch.setattr(ann, "SCAN_SHARE", 0.0)
+        found = ann.filtered_search(graph, vectors[9], 5, 20, few)
+    assert len(found) == 5 and {n for n, _ in found} <= few
+
+
+def test_plans_leave_the_collection_in_place(spark):
+    rows_ = registry.collection(spark, SF)
+    plan = search.query(rows_, [0.1] * registry.DIM, registry.DIM, 5, tier="all", include_metadata=False)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    queries = rows_.filter("vector_id < 5").select(F.col("vector_id").alias("query_id"), F.col("vector").alias("query"))
+    plan = search.batch_topk(rows_, queries, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "Broadcast" not in plan
+
+
+def test_dtw_gives_up_only_what_is_too_far(spark):
+    rng = np.random.default_rng(6)
+    series = [(i, rng.normal(size=20).cumsum().tolist()) for i in range(200)]
+    df = spark.createDataFrame(series, "series_id long, series array<double>")
+    want = sorted((dtw.distance(np.array(series[3][1]), np.array(s), 4), i) for i, s in series)[:7]
+    got = dtw.topk(df, series[3][1], 7, 4).orderBy("rank").collect()
+    assert [(r["distance"], r["series_id"]) for r in got] == want
+
+
+def test_newest_metadata_wins_where_segments_overlap(spark):
+    made = [(1, [1.0, 0.0], ["old"], 0, 0), (1, [1.0, 0.0], ["new"], 1, 0), (2, [0.5, 0.0], ["seg"], 0, 0), (2, [0.4, 0.0], ["hot"], None, None)]
+    df = frame(spark, [(i, v, t, i, 0, b"", s, lvl, False) for i, v, t, s, lvl in made], "vector_id long, vector array<double>, tags array<string>, entity_id long, sequence_ts long, payload binary, segment_id long, level int, pq boolean")
+    got = {r["vector_id"]: (r["tags"], r["score"]) for r in search.query(df, [1.0, 0.0], 2, 5, tier="all").collect()}
+    assert got == {1: (["new"], 1.0), 2: (["hot"], 0.5)}
+
+
 def test_idempotent_batches(spark):
     schema = "ord long, vector array<float>, payload binary, idempotency_key string"
     one = spark.createDataFrame([(0, [1.0, 0.0], b"a", "k1"), (1, [0.0, 1.0], b"b", " k2 "), (2, [9.0, 9.0], b"c", "k1"), (3, [1.0, 1.0], b"d", None)], schema)
