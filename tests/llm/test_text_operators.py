@@ -416,6 +416,58 @@ def test_quality_odd_cases(spark):
     assert quality.without_rejected(docs, labels).columns == docs.columns
 
 
+def plain_words(text: str) -> list[tuple[int, int]]:
+    """Bucket and class of each word, one character class after another."""
+    raw, out, at = text.encode(), [], 0
+    kind = lambda b: 0 if b in b"\t\n\x0b\x0c\r " else 1 if 48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128 else 2
+    while at < len(raw):
+        end = at
+        while end < len(raw) and kind(raw[end]) == kind(raw[at]):
+            end += 1
+        word = raw[at:end]
+        if kind(raw[at]):
+            value = int(bytesops.span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0])
+            upper = lambda b: 65 <= b <= 90
+            shape = 1 if kind(raw[at]) == 2 else 2 if 48 <= word[0] < 58 else 3 if len(word) > 1 and upper(word[0]) and upper(word[-1]) else 4 if upper(word[0]) else 0
+            out.append((value % 8192, shape))
+        at = end
+    return out
+
+
+def test_word_vectors_and_features_by_their_definition(spark):
+    docs = [(i, t) for i, t in cases.DOCUMENTS if t is None or len(t) < 3000]
+    words = [plain_words(t or "") for _, t in docs]
+    total = defaultdict(lambda: np.zeros(quality.DIMS))
+    for own in words:
+        for i, (bucket, _) in enumerate(own):
+            for j in range(max(0, i - 2), min(len(own), i + 3)):
+                if j != i:
+                    for place, sign in zip(quality._PLACE[own[j][0]], quality._SIGN[own[j][0]], strict=True):
+                        total[bucket][place] += sign
+    vectors = quality.word_vectors(cases.documents(spark, docs))
+    for bucket in range(quality.BUCKETS):
+        length = np.linalg.norm(total[bucket]) if bucket in total else 0
+        assert np.allclose(vectors[bucket], total[bucket] / length if length else 0, atol=1e-6)
+    got = quality.features([(t or "").encode() for _, t in docs], vectors)
+    for own, row in zip(words, got, strict=True):
+        want = np.zeros(3 * quality.DIMS + 2 + 5)
+        if own:
+            index = np.zeros((quality.BUCKETS, quality.DIMS))
+            for b, _ in own:
+                index[b] = 0
+                for place, sign in zip(quality._PLACE[b], quality._SIGN[b], strict=True):
+                    index[b][place] += sign
+            pairs = list(zip(own, own[1:], strict=False))
+            want[:32] = sum(vectors[b] for b, _ in own) / len(own)
+            want[32:64] = sum(index[b] for b, _ in own) / len(own)
+            want[64:96] = sum((vectors[a] * vectors[b] for (a, _), (b, _) in pairs), np.zeros(32)) / len(own)
+            want[96] = sum(a == b for (a, _), (b, _) in pairs) / len(own)
+            want[97] = math.log1p(len(own)) / 10
+            for c in range(5):
+                want[98 + c] = sum(s == c for _, s in own) / len(own)
+        assert np.allclose(row, want, atol=1e-4)
+
+
 def test_words_of_long_text_in_blocks():
     words = quality.words_of([cases.LONG.encode() * 4, b"", "Éa!! x".encode()])
     assert words.first[1] == 4 * len(cases.LONG.split()) - 3 and words.first[2] == words.first[1] and words.first[3] - words.first[2] == 3
@@ -448,6 +500,43 @@ def test_only_document_follows_itself(spark):
     assert len(got) == 1 and got[0]["near_next"] == 1 and got[0]["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest()
 
 
+def plain_digest(raw: bytes) -> str:
+    """The digest by its definition, one triplet after another."""
+    counts = [0] * 128
+    for i in range(len(raw) - 4):
+        for salt, (j, k) in enumerate([(1, 2), (1, 3), (2, 3), (2, 4), (1, 4), (3, 4)]):
+            triplet = raw[i] + 256 * raw[i + j] + 65536 * raw[i + k] + salt * 2**24
+            counts[triplet * 0x9E3779B1 % 2**32 // 2**25] += 1
+    q1, q2, q3 = (sorted(counts)[32 * k - 1] for k in (1, 2, 3))
+    codes = [(c > q1) + (c > q2) + (c > q3) for c in counts]
+    body = [sum(codes[4 * b + i] * 4**i for i in range(4)) for b in range(32)]
+    length = min(255, math.floor(8 * math.log2(len(raw) + 1)))
+    return bytes([length, (q1 * 15 // max(q3, 1)) * 16 + q2 * 15 // max(q3, 1), *body]).hex()
+
+
+def plain_likeness(a: str, b: str) -> float:
+    one, two = bytes.fromhex(a), bytes.fromhex(b)
+    far = abs(one[0] - two[0]) + abs(one[1] // 16 - two[1] // 16) + abs(one[1] % 16 - two[1] % 16)
+    for x, y in zip(one[2:], two[2:], strict=True):
+        for i in range(4):
+            step = abs(x // 4**i % 4 - y // 4**i % 4)
+            far += 6 if step == 3 else step
+    return max(0.0, 1 - far / 192)
+
+
+def test_digests_by_their_definition(spark):
+    docs = [(i, t) for i, t in cases.DOCUMENTS if t is None or len(t) < 6000]
+    docs = [*docs, *((1000 + k, r["text"]) for k, r in enumerate(cases.sample(spark).limit(40).collect()))]
+    pairs = sorted(((i, t or "") for i, t in docs), key=lambda x: (x[0] is None, -(x[0] or 0), x[1].encode()))
+    want = Counter()
+    for (doc_id, text), (_, after) in zip(pairs, pairs[1:] + pairs[:1], strict=True):
+        half = len(text) // 2
+        own, new, following = (plain_digest(t.encode()) for t in (text, text[: len(text) - half] + after[:half], after))
+        want[(doc_id, own, new, round(plain_likeness(own, new), 12), round(plain_likeness(own, following), 12))] += 1
+    got = fingerprints.next_likeness(cases.documents(spark, docs)).collect()
+    assert Counter((r["doc_id"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 12), round(r["near_next"], 12)) for r in got) == want
+
+
 def test_bucket_counts_do_not_depend_on_batches():
     texts = [cases.LONG.encode(), b"", b"abcd", b"abcde", "日本語のテキスト".encode()] * 2
     together = fingerprints.bucket_counts(texts)
