@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import release, whole
+from tessera.llm.shared import release, spread, whole
 
 #: Characters at the leaves of the tree: a sentence or so, so that nearly every text has joins.
 LEAF = 1 << 8
@@ -195,4 +195,4 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, leaf: int = LEAF)
     independent, so repeated ones and null ids are kept as they are; an empty table
     gives no rows.  Other columns are not read.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).mapInArrow(_digest(rank_file, pattern, leaf), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))).mapInArrow(_digest(rank_file, pattern, leaf), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

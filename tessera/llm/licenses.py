@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import free, whole
+from tessera.llm.shared import free, spread, whole
 
 #: A word once A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -205,12 +205,13 @@ def license_report(docs: DataFrame) -> DataFrame:
     score: 0 without a phrase, else a half and half the largest share of a template
     found around one.  Null and empty texts have no words, no places, empty labels and
     score 0.  Rows are independent: repeated ones and null ids are kept.  Other
-    columns are not read.  Neither a shuffle nor a join is needed.
+    columns are not read.  Neither a shuffle nor a join is needed, but that a small table
+    of few files is dealt over the cores.
     """
     base = F.filter("places", lambda p: p["base"])
     joined = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
     starts = F.transform(base, lambda p: p["start"])
-    return scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select(
+    return scan(spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))).select(
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         joined(base).alias("base_labels"), joined(F.col("places")).alias("labels"),
         F.coalesce(0.5 + 0.5 * F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0)).alias("score"),

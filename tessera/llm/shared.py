@@ -69,6 +69,20 @@ class Scratch:
             pass
 
 
+def spread(df: DataFrame, each: int = 16 << 20) -> DataFrame:
+    """``df`` dealt over all cores, if it is read from fewer files than there are cores and is estimated at ``each`` bytes a core at most.
+
+    A file may be one row group, which one task reads; larger tables are left as they
+    are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    if not 0 < files < cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= each * cores else df
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = 16 << 20) -> DataFrame:
     """``df`` marked for broadcast if its rows, counted, take at most ``limit`` bytes; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
